@@ -109,9 +109,12 @@ def find(docs: DataFrame, ledger: DataFrame | None = None, *, id_col: str = "doc
 
 def digest(found: DataFrame, *, base: tuple[Rule, ...] = BASE) -> DataFrame:
     """Replaces findings by counts per base kind, the hash of the base spans and all spans as text."""
-    kinds = [F.lit(r.kind) for r in base]
     in_base = F.filter("findings", lambda x: x["kind"].isin(*[r.kind for r in base]))
-    counts = [F.size(F.filter("findings", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{r.kind}") for k, r in zip(kinds, base, strict=True)]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(r.kind) for r in base]
     return found.select(*[c for c in found.columns if c not in ("blob", "findings")], *counts, F.sha2(_joined(in_base), 256).alias("base_sha256"), _joined(F.col("findings")).alias("spans"))
 
 
