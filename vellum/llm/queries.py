@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import packing, secrets, simhash
+from vellum.llm import mixing, packing, secrets, simhash
 
 TOKENIZER = {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
@@ -33,11 +33,19 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(_read(spark, sf_dir, "documents")))
 
 
+MIX = {"weights": (3, 1, 2), "budget": 1.5, "limit": 2, "block": 8, "shard_rows": 20_000, "seed": 42}
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document gives to the mix of all sources."""
+    return mixing.mix(_read(spark, sf_dir, "documents"), **MIX).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_secrets": op3_secrets}
+    return {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name, where SQL can express the query."""
-    return {}
+    return {"op9_mixing": mixing.oracle(**MIX)}
