@@ -132,5 +132,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     parts = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = parts.groupBy("root").agg(F.min("least").alias("component"))
     joined = parts.join(least, "root").select("fp", "component")
-    by_print = distinct.join(joined, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    by_print = durable(distinct.join(joined, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")))  # a plain side, so that a hot fingerprint's rows can be split
     return prints.join(by_print, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
