@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import mixing, packing, secrets, simhash, topk
+from vellum.llm import mixing, mpeg, packing, secrets, simhash, topk
 
 TOKENIZER = {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
@@ -38,6 +38,13 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"), k=20, every=20, scale=64.0)
 
 
+def op6_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as MPEG audio and read back."""
+    rows = mpeg.inspect(mpeg.media(_read(spark, sf_dir, "documents")))
+    feature = F.concat_ws(";", *[F.concat_ws("=", F.lit(c), F.col(c).cast("string")) for c in ("frames", "samples", "seconds_exact", "checked", "damaged", "skipped", "tags", "vbr")], F.concat(F.lit("last="), F.element_at("offsets", -1).cast("string")))
+    return rows.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+
+
 MIX = {"weights": (3, 1, 2), "budget": 1.5, "limit": 2, "block": 8, "shard_rows": 20_000, "seed": 42}
 
 
@@ -48,7 +55,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op4_topk": op4_topk, "op9_mixing": op9_mixing}
+    return {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op4_topk": op4_topk, "op6_mpeg_media": op6_mpeg_media, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
