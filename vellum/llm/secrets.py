@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.common import durable
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -92,7 +94,7 @@ def report(docs: DataFrame, ledger: DataFrame, *, id_col: str = "doc_id", text_c
     rows = ledger.where((F.size("spans") > 0) & F.array_contains(current, F.concat_ws(":", "kind", F.col("version").cast("string"))))
     flat = rows.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.array_position(order, F.col("kind")).alias("rank"), s["end"].alias("end"), F.col("kind").alias("kind"))).alias("s"))
     by_blob = flat.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("s"))).alias("s"))
-    by_blob = by_blob.select("blob", F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("findings"))
+    by_blob = durable(by_blob.select("blob", F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("findings")))  # a plain side, so that a hot blob's paths can be split
     paths = docs.select(F.col(id_col), blob(F.col(text_col)).alias("blob"))
     return paths.join(by_blob, "blob", "left").select(id_col, "blob", F.coalesce("findings", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("findings"))
 
