@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import mixing, mpeg, packing, secrets, simhash, topk
+from vellum.llm import html_text, licences, mixing, mpeg, packing, secrets, simhash, topk
 
 TOKENIZER = {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
@@ -45,6 +45,18 @@ def op6_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.main_text(_read(spark, sf_dir, "pages"), carry=("url",))
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document, as text."""
+    found = licences.scan(_read(spark, sf_dir, "documents"))
+    spots = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["sentence"].cast("string"), m["licence"], m["rule"].cast("string"))), ",")
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join("licences", ",").alias("licences"), spots.alias("matches"))
+
+
 MIX = {"weights": (3, 1, 2), "budget": 1.5, "limit": 2, "block": 8, "shard_rows": 20_000, "seed": 42}
 
 
@@ -55,7 +67,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op4_topk": op4_topk, "op6_mpeg_media": op6_mpeg_media, "op9_mixing": op9_mixing}
+    return {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op4_topk": op4_topk, "op6_mpeg_media": op6_mpeg_media, "op8_main_text": op8_main_text, "op9_mixing": op9_mixing, "op10_licences": op10_licences}
 
 
 def oracle_sql() -> dict[str, str]:
