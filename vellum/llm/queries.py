@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import html_text, licences, mixing, mpeg, packing, secrets, simhash, topk
+from vellum.llm import html_text, licences, mixing, mpeg, packing, secrets, simhash, topk, toxicity
 
 TOKENIZER = {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
@@ -38,6 +38,11 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"), k=20, every=20, scale=64.0)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labels that are not held out."""
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), most=(3000, 1500))
+
+
 def op6_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as MPEG audio and read back."""
     rows = mpeg.inspect(mpeg.media(_read(spark, sf_dir, "documents")))
@@ -67,7 +72,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op4_topk": op4_topk, "op6_mpeg_media": op6_mpeg_media, "op8_main_text": op8_main_text, "op9_mixing": op9_mixing, "op10_licences": op10_licences}
+    return {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op4_topk": op4_topk, "op5_toxicity": op5_toxicity, "op6_mpeg_media": op6_mpeg_media, "op8_main_text": op8_main_text, "op9_mixing": op9_mixing, "op10_licences": op10_licences}
 
 
 def oracle_sql() -> dict[str, str]:
