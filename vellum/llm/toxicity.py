@@ -180,7 +180,7 @@ def fit(texts: list[bytes], labels: np.ndarray, *, hidden: int = 10, word_dim: i
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
     for turn in range(rounds):
-        drawn = [pool[k] for k in rng.choice(len(pool), min(negatives, len(pool)), replace=False)]
+        drawn = [pool[k] for k in rng.choice(len(pool), negatives, replace=len(pool) < negatives)]
         if turn >= 2:
             chosen = dict(zip(positive, _worst(model, [docs[i] for i in positive])[0].tolist(), strict=True))
             start, value = _worst(model, [docs[i] for i in negative])
