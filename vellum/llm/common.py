@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words are runs without the ASCII white space characters; `bytes.split()` gives the same runs.
@@ -54,6 +55,19 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def session_of(df: DataFrame) -> SparkSession:
-    """The session a frame belongs to."""
-    return df.sparkSession
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written as Parquet below the checkpoint folder and read again.
+
+    For wide rows; `durable` keeps narrow ones. The folder is that of the run and goes with it.
+    """
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="vellum-checkpoint-"))
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def row_key(df: DataFrame) -> Column:
+    """A 64-bit hash of a row's columns, by name: equal rows have equal keys."""
+    return F.xxhash64(*[F.col(c) for c in sorted(df.columns)])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import html_text, licences, mixing, mpeg, packing, secrets, simhash, topk, toxicity
+from vellum.llm import html_text, licences, mixing, mpeg, packing, quality, secrets, simhash, topk, toxicity
 
 TOKENIZER = {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
@@ -50,6 +50,24 @@ def op6_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
 
 
+def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings from the labels: 0 for low quality, 1 for good but toxic, 2 for good texts."""
+    good = F.col("quality") == 1
+    return _read(spark, sf_dir, "labels").select("doc_id", F.when(good & (F.coalesce("toxic", F.lit(0)) == 0), 2).when(good, 1).when(F.col("quality") == 0, 0).alias("grade"))
+
+
+#: Lowest probability of grade 1 or better with which a document stays.
+KEEP_FROM = 0.5
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade of every document, and whether it stays."""
+    docs = _read(spark, sf_dir, "documents")
+    model = quality.train(docs, grades(spark, sf_dir), grades=3, most=4000)
+    rows = quality.grade(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", "expected_grade", F.col("tails")[0].alias("p_acceptable"), F.col("tails")[1].alias("p_good"), (F.col("tails")[0] >= KEEP_FROM).alias("keep"))
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.main_text(_read(spark, sf_dir, "pages"), carry=("url",))
@@ -70,9 +88,16 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"), **MIX).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op4_topk": op4_topk, "op5_toxicity": op5_toxicity, "op6_mpeg_media": op6_mpeg_media, "op8_main_text": op8_main_text, "op9_mixing": op9_mixing, "op10_licences": op10_licences}
+    return {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op4_topk": op4_topk, "op5_toxicity": op5_toxicity, "op6_mpeg_media": op6_mpeg_media, "op7_quality": op7_quality, "op8_main_text": op8_main_text, "op9_mixing": op9_mixing, "op10_licences": op10_licences, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

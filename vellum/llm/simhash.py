@@ -9,7 +9,7 @@ agrees on the kept bits of at least one of the 2^(r+1) - 1 tables.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import repeat
 
 import numpy as np
@@ -62,16 +62,18 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(_WEIGHT[_counts(hashes) * 2 > len(hashes)].sum(dtype=np.uint64)) if len(hashes) else 0
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """Rows (id, fp long): one row per input row; null texts have no words."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, carry: Sequence[str] = ()) -> DataFrame:
+    """Rows (id, fp long, then the ``carry`` columns): one row per input row; null texts have no words."""
+    kept = [F.col(c) for c in carry]
+    rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).alias("id"), *kept)
+    schema = "fp bigint, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(x, width) for x in text_bytes(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["id", "fp"])
+            values = np.array([fingerprint(x, width) for x in text_bytes(batch.column(0))], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *batch.columns[1:]], names=["fp", *batch.schema.names[1:]])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, f"id {kind}, fp bigint")
+    return rows.mapInArrow(scan, schema).select("id", "fp", *kept)
 
 
 def masks(radius: int) -> list[int]:
@@ -116,21 +118,24 @@ def links(distinct: DataFrame, *, radius: int = 2) -> DataFrame:
     return near.union(exact.distinct())
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, carry: Sequence[str] = ()) -> DataFrame:
     """Components of the documents whose fingerprints link within ``radius`` bits.
 
-    Returns one row per input row: ``id_col``, fingerprint (16 lowercase hex digits) and
-    component_id, the smallest id reachable through links, the row's own included. Texts
-    that are null, empty or without words have fingerprint zero and link like any other.
-    Repeated rows stay repeated; null ids never become a component id unless a component
-    has no other. Columns besides the two named are ignored. Empty input, empty result.
+    Returns one row per input row: ``id_col``, fingerprint (16 lowercase hex digits),
+    component_id, the smallest id reachable through links, the row's own included, root
+    (the component's first fingerprint) and the ``carry`` columns. Texts that are null,
+    empty or without words have fingerprint zero and link like any other. Repeated rows
+    stay repeated; null ids never become a component id unless a component has no other.
+    Other columns are ignored. Empty input, empty result.
     """
-    prints = durable(fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
+    prints = durable(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, carry=carry))
     distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
     roots = connected(links(distinct.select("fp"), radius=radius))
     roots = roots.union(roots.select("root", "root").distinct())
     parts = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = parts.groupBy("root").agg(F.min("least").alias("component"))
-    joined = parts.join(least, "root").select("fp", "component")
-    by_print = durable(distinct.join(joined, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")))  # a plain side, so that a hot fingerprint's rows can be split
-    return prints.join(by_print, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    joined = parts.join(least, "root").select("fp", "component", "root")
+    found = F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component"))
+    by_print = durable(distinct.join(joined, "fp", "left").select("fp", found.alias("component_id"), F.coalesce("root", "fp").alias("root")))  # a plain side, so that a hot fingerprint's rows can be split
+    digits = [F.lower(F.lpad(F.hex(c), 16, "0")).alias(name) for c, name in (("fp", "fingerprint"), ("root", "root"))]
+    return prints.join(by_print, "fp").select(F.col("id").alias(id_col), digits[0], "component_id", digits[1], *[F.col(c) for c in carry])
