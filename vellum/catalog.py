@@ -28,9 +28,13 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def queries() -> dict[str, Query]:
     """All registered queries by name."""
+    import vellum.plans  # noqa: F401  registers them
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Oracle SQL by query name."""
+    import vellum.plans  # noqa: F401  registers them
+
     return dict(_ORACLES)

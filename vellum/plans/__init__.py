@@ -1,0 +1,10 @@
+"""Queries over the driver tables; importing this package registers them all."""
+
+from vellum.plans import (  # noqa: F401
+    facts,
+    kinship,
+    language,
+    pages,
+    recognition,
+    vectors,
+)
