@@ -80,7 +80,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join("licences", ",").alias("licences"), spots.alias("matches"))
 
 
-MIX = {"weights": (3, 1, 2), "budget": 1.5, "limit": 2, "block": 8, "shard_rows": 20_000, "seed": 42}
+MIX = {"weights": (3, 1, 2), "budget": 1.5, "limit": 2, "block": 8, "shard_rows": 2_000, "seed": 42}
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
