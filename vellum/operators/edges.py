@@ -17,12 +17,27 @@ EDGE = ("user_id", "id", "from_id", "to_id", "relation_kind", "relation_type", "
 
 
 def with_canonical(edges: DataFrame) -> DataFrame:
-    """F08 on every edge: canon_from, canon_to, canon_key, up, down, via_marriage, bond, delta."""
-    fields = kin.canonical_fields(F.col("relation_kind"), F.col("from_id"), F.col("to_id"), F.col("generations"), F.col("via_marriage"), F.col("relation_type"))
-    wide = edges.withColumn("_c", fields)
+    """F08 on every edge: canon_from, canon_to, canon_key, up, down, via_marriage, bond, delta.
+
+    The same values as `kin.canonical_fields`, by a join with the small table of kinds.
+    """
+    dim = F.broadcast(kin.dimension(edges.sparkSession).select(*[F.col(c).alias(f"_{c}") for c in ("kind", "up", "down", "marriage", "bond", "token", "side", "deep")]))
+    key = kin.kind_of(F.col("relation_kind"))
+    rows = edges.withColumn("_key", key).join(dim, F.col("_key") == F.col("_kind"), "left")
+    depth = F.when(F.col("generations").between(*kin.GENERATIONS), F.col("generations"))
+    up = F.when(depth.isNotNull() & F.col("_deep").isin("up", "both"), depth).when(depth.isNotNull() & (F.col("_deep") == "down"), 0).otherwise(F.col("_up")).cast("int")
+    down = F.when(depth.isNotNull() & F.col("_deep").isin("down", "both"), depth).when(depth.isNotNull() & (F.col("_deep") == "up"), 0).otherwise(F.col("_down")).cast("int")
+    given = F.coalesce("via_marriage", F.lit(False))
+    rows = rows.withColumn("up", up).withColumn("down", down).withColumn("via_marriage", F.coalesce(F.col("_marriage") | given, given)).withColumn("bond", F.coalesce("_bond", F.lit("blood")))
+    senior, same = F.col("_side") == "to_senior", F.col("_side") == "sym"
+    first = F.when(senior, F.col("to_id")).when(same, F.least("from_id", "to_id")).otherwise(F.col("from_id"))
+    second = F.when(senior, F.col("from_id")).when(same, F.greatest("from_id", "to_id")).otherwise(F.col("to_id"))
+    shape = F.concat_ws(":", F.lit("shape"), F.least("up", "down").cast("string"), F.greatest("up", "down").cast("string"), F.col("via_marriage").cast("int").cast("string"), F.col("bond"))
+    plain = F.when(F.col("_key").isin("", "other"), F.concat(F.lit("kind:other:"), kin.label_hash(F.col("relation_type")))).otherwise(F.concat(F.lit("kind:"), F.col("_key")))
+    token = F.coalesce("_token", F.when(F.col("up").isNotNull(), shape), plain)
+    rows = rows.withColumn("canon_from", first).withColumn("canon_to", second).withColumn("canon_key", token).withColumn("delta", F.col("down") - F.col("up"))
     names = ("canon_from", "canon_to", "canon_key", "up", "down", "via_marriage", "bond")
-    kept = [c for c in edges.columns if c not in names]
-    return wide.select(*kept, *[F.col(f"_c.{n}") for n in names]).withColumn("delta", F.col("down") - F.col("up"))
+    return rows.select(*[c for c in edges.columns if c not in names], *names, "delta")
 
 
 def priority(confidence: Column, sources: Column, *ties: Column) -> Column:
@@ -55,10 +70,12 @@ def canonicalize(edges: DataFrame) -> DataFrame:
     wide = with_canonical(edges)
     key = kin.kind_of(F.col("relation_kind"))
     wide = wide.withColumn("kind", F.when(key == "", "other").otherwise(key))
-    order = priority(F.col("confidence"), F.lit(1), F.col("id"), F.col("from_id"), F.col("to_id"))
-    best = F.min_by(F.struct("id", "from_id", "to_id", "kind", "relation_type", "via_marriage", "bond", "up", "down", "delta"), order)
-    out = wide.groupBy("user_id", "canon_from", "canon_to", "canon_key").agg(best.alias("_b"), F.nullif(F.max(F.coalesce("confidence", F.lit(0.0))), F.lit(0.0)).alias("confidence"), F.count_distinct("source_id").alias("n_sources"), F.array_sort(F.collect_set("kind")).alias("kinds"))
-    return out.select("user_id", "canon_from", "canon_to", "canon_key", "_b.*", "confidence", "n_sources", "kinds")
+    # a relation has few confirmations, so combining before the shuffle saves nothing: one shuffle and windows over it
+    whole = Window.partitionBy("user_id", "canon_from", "canon_to", "canon_key")
+    best = whole.orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), *[F.coalesce(c, F.lit(0)) for c in ("id", "from_id", "to_id")])
+    rows = wide.withColumn("_rank", F.row_number().over(best)).withColumn("n_sources", F.size(F.collect_set("source_id").over(whole)).cast("long")).withColumn("kinds", F.array_sort(F.collect_set("kind").over(whole)))
+    confidence = F.nullif(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)).alias("confidence")  # the best edge's is the largest
+    return rows.where("_rank = 1").select("user_id", "canon_from", "canon_to", "canon_key", "id", "from_id", "to_id", "kind", "relation_type", "via_marriage", "bond", "up", "down", "delta", confidence, "n_sources", "kinds")
 
 
 def kin_edges(canonical: DataFrame) -> DataFrame:

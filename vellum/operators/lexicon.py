@@ -96,17 +96,18 @@ def line_breaks(lines: DataFrame, known: DataFrame, *, interior: DataFrame | Non
     rows = lines.select("page_id", "order_index", lettered_words.alias("w")).withColumn("raw_tail", F.try_element_at("w", F.lit(-1))).withColumn("raw_head", F.lead(F.get("w", F.lit(0))).over(w))
     rows = rows.where("raw_tail IS NOT NULL AND raw_head IS NOT NULL").select("page_id", "order_index", T.normalize_word(F.col("raw_tail")).alias("tail"), T.normalize_word(F.col("raw_head")).alias("head"), F.col("raw_tail").rlike("[-‐–]$").alias("hyphenated"))
     rows = rows.where((F.length("tail") >= least) & (F.length("head") >= least)).withColumn("stem", F.regexp_replace("tail", "[-‐–]+$", ""))
+    words = known.select(F.col("word").alias("form")).distinct()
+    inside = words if interior is None else interior.select(F.col("word").alias("form")).distinct()
+    ours = inside.select(F.col("form").alias("_w"), F.lit(True).alias("_in"))
+    rows = rows.join(ours.select(F.col("_w").alias("tail"), F.col("_in").alias("tail_in")), "tail", "left").join(ours.select(F.col("_w").alias("head"), F.col("_in").alias("head_in")), "head", "left")
+    rows = rows.where(F.col("hyphenated") | (F.col("tail_in").isNull() & F.col("head_in").isNull()))  # before variants are made: most ends are words
     exact, whole = F.concat("stem", "head"), F.concat("tail", "head")
     seam = F.length("stem")
     near = T.confusion_variants(exact, F.array(F.lit(0), seam - 1, seam))
     tries = F.when(F.col("hyphenated"), F.array(F.struct(F.lit(0).alias("rank"), exact.alias("form"), exact.alias("word")), F.struct(F.lit(1).alias("rank"), whole.alias("form"), whole.alias("word")))).otherwise(F.transform(near, lambda v: F.struct(F.when(v == exact, 0).otherwise(2).alias("rank"), v.alias("form"), exact.alias("word"))))
-    forms = rows.select("*", F.explode(tries).alias("t")).select("page_id", "order_index", F.col("t.rank").alias("rank"), F.explode(T.word_variants(F.col("t.form"))).alias("form"), F.col("t.word").alias("joined"))
-    words = known.select(F.col("word").alias("form")).distinct()
-    hits = forms.join(words, "form").groupBy("page_id", "order_index").agg(F.min_by(F.struct("rank", "joined"), F.struct("rank", "joined")).alias("h"))
-    inside = words if interior is None else interior.select(F.col("word").alias("form")).distinct()
-    ours = inside.select(F.col("form").alias("_w"), F.lit(True).alias("_in"))
-    rows = rows.join(hits, ["page_id", "order_index"]).join(ours.select(F.col("_w").alias("tail"), F.col("_in").alias("tail_in")), "tail", "left").join(ours.select(F.col("_w").alias("head"), F.col("_in").alias("head_in")), "head", "left")
-    broken = rows.where(F.col("hyphenated") | (F.col("tail_in").isNull() & F.col("head_in").isNull()))
+    forms = rows.select("page_id", "order_index", F.explode(tries).alias("t")).select("page_id", "order_index", F.col("t.rank").alias("rank"), F.explode(T.word_variants(F.col("t.form"))).alias("form"), F.col("t.word").alias("joined"))
+    hits = forms.join(words, "form").groupBy("page_id", "order_index").agg(F.min(F.struct("rank", "joined")).alias("h"))
+    broken = rows.join(hits, ["page_id", "order_index"])
     joins = broken.select("page_id", "order_index", F.col("tail").alias("fragment"), "head", F.col("h.joined").alias("word"), "hyphenated", (F.col("h.rank") == 2).alias("fuzzy"))
     tails = broken.where("tail_in IS NULL").select(F.col("tail").alias("word"))
     heads = broken.where("head_in IS NULL").select(F.col("head").alias("word")).join(words.withColumnRenamed("form", "word"), "word", "left_anti")
@@ -118,11 +119,11 @@ def author_vocabulary(lines: DataFrame, known: DataFrame) -> tuple[DataFrame, Da
 
     ``lines``: page_id, order_index, text of confirmed pages.
     """
-    listed = lines.select("page_id", F.posexplode(T.words(F.col("text"))).alias("position", "raw"), F.size(T.words(F.col("text"))).alias("n"))
+    listed = lines.select(T.words(F.col("text")).alias("w")).select(F.posexplode("w").alias("position", "raw"), F.size("w").alias("n"))
     interior = listed.where("position > 0 AND position < n - 1").select(T.normalize_word(F.col("raw")).alias("word")).distinct()
     joins, fragments = line_breaks(lines, known, interior=interior)
     good = joins.where("NOT fuzzy")
-    forms = listed.where(lettered(F.col("raw"))).select(F.explode(T.word_variants(F.col("raw"))).alias("word")).distinct()
+    forms = listed.where(lettered(F.col("raw"))).select("raw").distinct().select(F.explode(T.word_variants(F.col("raw"))).alias("word")).distinct()
     gone = fragments.select(F.explode(T.word_variants(F.col("word"))).alias("word")).distinct()
     forms = forms.join(gone, "word", "left_anti").union(good.select(F.explode(T.word_variants(F.col("word"))).alias("word"))).distinct()
     counts = listed.where(lettered(F.col("raw"))).select(T.normalize_word(F.col("raw")).alias("word")).where("word <> ''").join(fragments, "word", "left_anti").union(good.select("word").distinct())
