@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
@@ -25,21 +25,27 @@ def whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def word_forms(spark: SparkSession, path: str | list[str], encoding: str = "auto", least: int = 2) -> DataFrame:
     """Distinct dictionary forms (word) of word lists.
 
-    UTF-8 or, where that fails, cp1251; plain, gzip or bzip2; lines may carry flags after a
-    slash or columns after a tab, and comments after a number sign. Words need a letter,
+    UTF-8 or, where a plain file is not that, cp1251; gzip or bzip2 in UTF-8; lines may carry
+    flags after a slash or columns after a tab, and comments after a number sign. Words need a letter,
     no digit, and ``least`` characters.
     """
-    rows = spark.read.format("binaryFile").load(path).select(F.col("path"), F.col("content")) if encoding == "auto" and not _compressed(path) else None
-    if rows is None:
-        # compressed files are read as text, which splits and unpacks them
-        reader = spark.read.option("encoding", "UTF-8" if encoding == "auto" else encoding)
-        lines = reader.text(path).select(F.col("value").alias("line"))
-    else:
-        text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", F.lit("UTF-8"))).otherwise(F.decode("content", F.lit("windows-1251")))
-        lines = rows.select(F.explode(F.split(text, r"\R")).alias("line"))
+    if not _compressed(path):
+        content = F.col("content")
+        text = F.when(F.is_valid_utf8(content.cast("string")), F.decode("content", "UTF-8")).otherwise(cyrillic(content))
+        if encoding != "auto":
+            text = cyrillic(content) if encoding in ("cp1251", "windows-1251") else F.decode("content", encoding)
+        lines = spark.read.format("binaryFile").load(path).select(F.explode(F.split(text, r"\R")).alias("line"))
+    else:  # compressed files are unpacked by the reader
+        lines = spark.read.text(path).select(F.col("value").alias("line"))
     return _forms(lines, least)
 
 
+def cyrillic(content: Column) -> Column:
+    """Text of bytes in cp1251: read byte by byte, then the upper half is mapped."""
+    upper = bytes(range(128, 256))
+    return F.translate(F.decode(content, "ISO-8859-1"), upper.decode("latin-1"), upper.decode("cp1251", errors="replace"))
+
+
 def _compressed(path: str | list[str]) -> bool:
     return any(p.endswith((".gz", ".bz2")) for p in ([path] if isinstance(path, str) else path))
 
