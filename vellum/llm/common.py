@@ -9,20 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words are runs without the ASCII white space characters; `bytes.split()` gives the same runs.
-WORD = r"[^\x20\x09-\x0D]+"
+from vellum.operators.components import connected, durable
 
+__all__ = ["WORD", "connected", "durable", "row_key", "stored", "text_bytes"]
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the reliable checkpoint folder.
-
-    The folder is the session's spark.checkpoint.dir. Only where none is set, as in
-    tests, a temporary folder is used.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="vellum-checkpoint-"))
-    return df.checkpoint(eager=True)
+#: Words are runs without the ASCII white space characters; `bytes.split()` gives the same runs.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -31,30 +23,6 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges`` (u, v: long): rows (node, root), root the smallest node.
-
-    Alternates large-star and small-star contraction; every round is two aggregations
-    and two equi-joins, and lineage is cut in the checkpoint folder. Nodes that are
-    their own root are not returned. Raises if ``rounds`` do not suffice.
-    """
-    pairs = durable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
-    for _ in range(rounds):
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(both.where("v < u").groupBy("u").agg(F.min("v").alias("v")))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
-        pairs = durable(small.where("u <> v").distinct())
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
 def stored(df: DataFrame) -> DataFrame:
     """The frame written as Parquet below the checkpoint folder and read again.
 
