@@ -6,5 +6,7 @@ from vellum.plans import (  # noqa: F401
     language,
     pages,
     recognition,
+    rules,
+    streams,
     vectors,
 )
