@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 def frame_candidates(frame: Column, top_k: int = 12, min_prob: float = 0.0) -> Column:
     """The best classes of a frame: array of struct(label, log), best first; the best one always stays."""
     rows = F.transform(frame, lambda p, i: F.struct((-p).alias("o"), i.alias("label"), p.alias("p")))
-    best = F.slice(F.array_sort(rows), 1, top_k)
+    best = F.slice(F.sort_array(rows), 1, top_k)
     kept = F.filter(best, lambda x, i: (i == 0) | (x["p"] >= min_prob))
     return F.transform(kept, lambda x: F.struct(x["label"].alias("label"), F.log10(F.greatest(x["p"], F.lit(1e-12))).alias("log")))
 

@@ -56,7 +56,7 @@ def aggregate_confirmations(rows: DataFrame, keys: Sequence[str], *, carry: Sequ
     order = priority(F.col("confidence"), F.lit(1), F.col("source_id"))
     best = F.min_by(F.struct(F.nullif(key, F.lit("")).alias("relation_kind"), "relation_type", F.col("source_id").alias("primary_source"), *carry), order)
     firsts = rows.where(key != "").groupBy(*keys, key.alias("_kind")).agg(F.min("source_id").alias("_first"))
-    kinds = firsts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", "_kind"))), lambda x: x["_kind"]).alias("kinds"))
+    kinds = firsts.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_first", "_kind"))), lambda x: x["_kind"]).alias("kinds"))
     out = rows.groupBy(*keys).agg(best.alias("_b"), F.nullif(F.max(F.coalesce("confidence", F.lit(0.0))), F.lit(0.0)).alias("confidence"), F.count_distinct("source_id").alias("n_sources"))
     return out.join(kinds, list(keys), "left").select(*keys, "_b.*", "confidence", "n_sources", "kinds")
 
@@ -73,7 +73,7 @@ def canonicalize(edges: DataFrame) -> DataFrame:
     # a relation has few confirmations, so combining before the shuffle saves nothing: one shuffle and windows over it
     whole = Window.partitionBy("user_id", "canon_from", "canon_to", "canon_key")
     best = whole.orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), *[F.coalesce(c, F.lit(0)) for c in ("id", "from_id", "to_id")])
-    rows = wide.withColumn("_rank", F.row_number().over(best)).withColumn("n_sources", F.size(F.collect_set("source_id").over(whole)).cast("long")).withColumn("kinds", F.array_sort(F.collect_set("kind").over(whole)))
+    rows = wide.withColumn("_rank", F.row_number().over(best)).withColumn("n_sources", F.size(F.collect_set("source_id").over(whole)).cast("long")).withColumn("kinds", F.sort_array(F.collect_set("kind").over(whole)))
     confidence = F.nullif(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)).alias("confidence")  # the best edge's is the largest
     return rows.where("_rank = 1").select("user_id", "canon_from", "canon_to", "canon_key", "id", "from_id", "to_id", "kind", "relation_type", "via_marriage", "bond", "up", "down", "delta", confidence, "n_sources", "kinds")
 
@@ -98,8 +98,8 @@ def parent_conflicts(canonical: DataFrame) -> DataFrame:
     rows = canonical.select("user_id", pair.alias("p"), kin.parent_slot(F.col("kind")).alias("slot")).where("p IS NOT NULL AND slot IS NOT NULL")
     claims = F.when(F.col("slot") == "parent", F.array(F.lit("father"), F.lit("mother"))).otherwise(F.array("slot"))
     rows = rows.select("user_id", F.col("p.child").alias("child"), F.col("p.parent").alias("parent"), F.explode(claims).alias("slot"))
-    by_slot = rows.groupBy("user_id", "child", "slot").agg(F.array_sort(F.collect_set("parent")).alias("occupants"))
-    whole = F.array_sort(F.array_distinct(F.flatten(F.collect_list("occupants").over(Window.partitionBy("user_id", "child")))))
+    by_slot = rows.groupBy("user_id", "child", "slot").agg(F.sort_array(F.collect_set("parent")).alias("occupants"))
+    whole = F.sort_array(F.array_distinct(F.flatten(F.collect_list("occupants").over(Window.partitionBy("user_id", "child")))))
     return by_slot.withColumn("parents", whole).where(F.size("occupants") > 1)
 
 

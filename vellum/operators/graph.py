@@ -46,7 +46,7 @@ def path_label(names: Column) -> Column:
 def decorate(chains: DataFrame, names: DataFrame) -> DataFrame:
     """Adds names to chains of ids; a missing name is a question mark."""
     rows = chains.select("subject", "target", F.posexplode("chain").alias("p", "id")).join(names.select(F.col("id").alias("id"), "name"), "id", "left")
-    listed = rows.groupBy("subject", "target").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", F.coalesce("name", F.lit("?")).alias("n")))), lambda x: x["n"]).alias("names"))
+    listed = rows.groupBy("subject", "target").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", F.coalesce("name", F.lit("?")).alias("n")))), lambda x: x["n"]).alias("names"))
     return chains.join(listed, ["subject", "target"])
 
 
@@ -69,7 +69,7 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with an end outside the nodes, and which."""
     known = nodes.select(F.col("node").alias("_n")).distinct()
     rows = edges.join(known.withColumnRenamed("_n", "_f"), F.col("from_id") == F.col("_f"), "left").join(known.withColumnRenamed("_n", "_t"), F.col("to_id") == F.col("_t"), "left")
-    missing = F.array_sort(F.array_distinct(F.array_compact(F.array(F.when(F.col("_f").isNull(), F.col("from_id")), F.when(F.col("_t").isNull(), F.col("to_id"))))))
+    missing = F.sort_array(F.array_distinct(F.array_compact(F.array(F.when(F.col("_f").isNull(), F.col("from_id")), F.when(F.col("_t").isNull(), F.col("to_id"))))))
     return rows.where("_f IS NULL OR _t IS NULL").select("id", "from_id", "to_id", missing.alias("missing"))
 
 

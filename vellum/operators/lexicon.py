@@ -65,7 +65,7 @@ def annotate(lines: DataFrame, words: DataFrame, verdict: DataFrame) -> tuple[Da
     """
     own = lines.select("line_id", "words_stale", T.words(F.col("text")).alias("tokens"))
     listed = own.select("line_id", F.posexplode("tokens").alias("position", "word")).join(verdict, "word")
-    unknown = listed.where("verdict = 'unknown'").groupBy("line_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "word"))), lambda x: x["word"]).alias("oov_words"))
+    unknown = listed.where("verdict = 'unknown'").groupBy("line_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "word"))), lambda x: x["word"]).alias("oov_words"))
     by_line = own.select("line_id").join(unknown, "line_id", "left").select("line_id", F.coalesce("oov_words", F.array().cast("array<string>")).alias("oov_words")).withColumn("oov_count", F.size("oov_words"))
     counts = words.groupBy("line_id").agg(F.count("*").alias("_n"))
     boxes = words.join(own, "line_id").join(counts, "line_id")
@@ -154,7 +154,7 @@ def occurrences(words: DataFrame, verdict: DataFrame, each: int = 8, most: int =
 
 def author_terms(counts: DataFrame, verdict: DataFrame, places: DataFrame) -> DataFrame:
     """Words that only the author's pages vouch for, with counts and places."""
-    listed = places.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("page_id", "order_index", "position"))).alias("places"))
+    listed = places.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("page_id", "order_index", "position"))).alias("places"))
     return counts.join(verdict.where("verdict = 'author'").select("word"), "word").join(listed, "word", "left")
 
 
@@ -175,7 +175,7 @@ def leave_one_out(words: DataFrame) -> DataFrame:
 
 def nearest_rank(values: DataFrame, column: str, shares: tuple[float, ...]) -> DataFrame:
     """Percentiles by nearest rank."""
-    ranked = F.array_sort(F.collect_list(column))
+    ranked = F.sort_array(F.collect_list(column))
     picks = [F.element_at("v", F.greatest(F.lit(1), F.ceil(F.size("v") * s)).cast("int")).alias(f"p{round(100 * s)}") for s in shares]
     return values.agg(ranked.alias("v")).where("size(v) > 0").select(*picks)
 

@@ -290,7 +290,7 @@ def latest_run(runs: DataFrame, key: str = "source_id") -> DataFrame:
 def content_hash(rows: DataFrame, keys: Sequence[str], order: Sequence[str], parts: Sequence[str]) -> DataFrame:
     """SHA-256 over a key's rows in order, fields joined by bars, rows by line feeds."""
     line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts])
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], line.alias("line")))), lambda x: x["line"]), "\n")
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], line.alias("line")))), lambda x: x["line"]), "\n")
     return rows.groupBy(*keys).agg(F.sha2(listed, 256).alias("content_hash"), F.count("*").alias("n_rows"))
 
 

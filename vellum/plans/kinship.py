@@ -40,7 +40,7 @@ s AS (SELECT user_id, child, slot, count(DISTINCT parent) AS n, string_agg(DISTI
 @register("d08_parent_conflicts", f"{_SLOTS} SELECT user_id, child, slot, occupants FROM s WHERE n > 1")
 def parent_conflicts(spark, sf):
     found = E.parent_conflicts(_canonical(spark, sf))
-    return found.select("user_id", "child", "slot", F.array_join(F.array_sort(F.transform("occupants", lambda x: x.cast("string"))), ",").alias("occupants"))
+    return found.select("user_id", "child", "slot", F.array_join(F.sort_array(F.transform("occupants", lambda x: x.cast("string"))), ",").alias("occupants"))
 
 
 @register("d09_anchor_pairs", f"{_SLOTS} SELECT user_id, child, slot, anchor, named FROM s WHERE n > 1 AND anchor IS NOT NULL AND named IS NOT NULL")

@@ -210,5 +210,5 @@ def json_objects(spark, sf):
 
 @register("j19_context_blocks", "SELECT conv_id, string_agg('[' || r || '] ' || text, chr(10) ORDER BY r) AS block FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) GROUP BY 1")
 def context_blocks(spark, sf):
-    rows = D.table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("p"))
+    rows = D.table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("p"))
     return rows.select("conv_id", T.numbered(F.col("p")).alias("block"))

@@ -290,7 +290,7 @@ def assemble(spark, sf):
 
 @register("j04_line_of_offset", f"WITH {D.LINES}, o AS (SELECT page_id, order_index, sum(length(text) + 1) OVER (PARTITION BY page_id ORDER BY order_index) - length(text) - 1 AS start FROM lines) SELECT page_id, max(order_index)::BIGINT AS line_id FROM o WHERE start <= 100 GROUP BY 1")
 def line_of_offset(spark, sf):
-    rows = D.lines(spark, sf).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(F.col("order_index").alias("line_id"), "text"))).alias("l"))
+    rows = D.lines(spark, sf).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(F.col("order_index").alias("line_id"), "text"))).alias("l"))
     return rows.select("page_id", T.line_for_offset(T.assemble(F.col("l"))["line_map"], F.lit(100)).alias("line_id"))
 
 

@@ -229,7 +229,7 @@ def keep_confident(spark, sf):
 
 @register("j05_line_spans", f"WITH {D.LINES}, o AS (SELECT page_id, order_index, sum(length(text) + 1) OVER (PARTITION BY page_id ORDER BY order_index) - length(text) - 1 AS start, length(text) AS n FROM lines) SELECT page_id, start::INT AS start, (start + n)::INT AS stop FROM o WHERE order_index = 1")
 def line_spans(spark, sf):
-    rows = D.lines(spark, sf).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(F.col("order_index").alias("line_id"), "text"))).alias("l"))
+    rows = D.lines(spark, sf).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(F.col("order_index").alias("line_id"), "text"))).alias("l"))
     found = rows.select("page_id", T.line_span(T.assemble(F.col("l"))["line_map"], F.lit(1)).alias("s")).where("s IS NOT NULL")
     return found.select("page_id", "s.start", F.col("s.end").alias("stop"))
 

@@ -178,7 +178,7 @@ def manuscript_sources(pages: DataFrame, lines: DataFrame) -> DataFrame:
     The text of a line is its correction unless that is empty, else the prediction.
     """
     text = T.effective_text_falsy(F.col("corrected"), F.col("predicted"))
-    listed = lines.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("order_index", "line_id", text.alias("text")))), lambda x: F.struct(x["line_id"].alias("line_id"), x["text"].alias("text"))).alias("lines"))
+    listed = lines.groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("order_index", "line_id", text.alias("text")))), lambda x: F.struct(x["line_id"].alias("line_id"), x["text"].alias("text"))).alias("lines"))
     rows = pages.where("status = 'CONFIRMED'").join(listed, "page_id").withColumn("_a", T.assemble(F.col("lines")))
     title = F.when(F.trim(F.coalesce("file_name", F.lit(""))) != "", F.trim("file_name")).otherwise(F.concat(F.lit("Стр. #"), F.col("page_id").cast("string")))
     return rows.select("user_id", F.lit("manuscript").alias("source_type"), F.col("page_id").alias("ref_id"), title.alias("title"), F.col("_a.text").alias("text"), F.to_json("_a.line_map").alias("line_map"))
