@@ -30,6 +30,13 @@ def test_boilerplate_goes_without_article_marks():
     assert got == " ".join(f"Head & shoulders {LONG * 3}A boldword Aé. Next {LONG} c1 c2".split())
 
 
+def test_wrappers_and_comments():
+    page = f"""<body class="has-sidebar"><div class="page with-sidebar header-wrap"><div class="siteHeader">Top</div><main><article><h1>T</h1><p>{LONG}</p><div class="share-buttons">Share</div>
+      <section class="reader-comments"><article><p>{LONG}</p></article></section></article></main><div class="sidebar"><p>{LONG}</p></div></div></body>"""
+    assert html_text.extract(page) == f"T {LONG.strip()}"
+    assert html_text.extract(f'<div class="no-comments"><p>{LONG}</p></div>') == LONG.strip()
+
+
 def test_broken_and_empty_pages():
     assert html_text.extract("") == html_text.extract("<html><body></body>") == html_text.extract("<script>x") == ""
     assert html_text.extract("just text &lt;b&gt;") == "just text <b>"
@@ -38,6 +45,7 @@ def test_broken_and_empty_pages():
     assert html_text.extract("<article><a href='>'>x</a> < 3 & y</article>") == "x < 3 & y"
     deep = "<div>" * 30_000 + LONG + "</div>" * 30_000
     assert html_text.extract(deep) == LONG.strip()
+    assert html_text.extract("<div class=ad>" * 30_000 + LONG) == "" and html_text.extract("<div class=ad>" * 30_000 + f"<main>{LONG}") == LONG.strip()
     assert html_text.extract("<" * 50_000) == "<" * 50_000
     assert len(html_text.extract("<article>" + "<p>w</p>" * 100_000)) == 199_999
 

@@ -25,8 +25,12 @@ CLOSES_P = BLOCK - frozenset("br option html body caption tbody td tfoot th thea
 DROPPED = frozenset("nav header footer aside form script style textarea title noscript iframe xmp noembed noframes head button select option menu dialog template object svg canvas input label".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Words of class names and ids of what is no main text.
-MARKS = frozenset("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus dropdown footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain paywall popup promo promoted promotion related reply respond share sharing sidebar signup social sponsor sponsored subscribe taboola toolbar widget widgets".split())
+MARKS = frozenset("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus dropdown footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain paywall popup promo promoted promotion related reply respond share sharing sidebar signup social sponsor sponsored subscribe taboola toolbar widget widgets".split())
+#: Of these, the ones that go even where they hold an article, and what turns a class name's meaning.
+COMMENTS = frozenset("comment comments commentlist disqus reply respond".split())
+TURNED = frozenset("has with no without hide hidden is".split())
 MAIN = frozenset(("article", "main"))
+_WORDS = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])")
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(/?)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -49,16 +53,21 @@ class Tree:
         self.text: list[tuple[int, str]] = []
 
 
-def _dropped(tag: str, rest: str) -> bool:
+def _dropped(tag: str, rest: str) -> int:
+    """0 for what may be main text, 1 for what is not unless it holds an article, 2 for what never is."""
     if tag in DROPPED:
-        return True
+        return 2
     if not rest or tag in MAIN or tag in ("body", "html"):
-        return False
+        return 0
+    found = 0
     for name, a, b, c in ATTRIBUTE.findall(rest):
-        words = re.split(r"[\s_-]+", (a or b or c).lower())
-        if any(w in (ROLES if name.lower() == "role" else MARKS) for w in words):
-            return True
-    return False
+        for value in (a or b or c).split():
+            words = {w.lower() for w in _WORDS.split(value)}
+            if name.lower() == "role":
+                found = max(found, 2 * bool(words & ROLES))
+            elif not words & TURNED:
+                found = max(found, 2 if words & COMMENTS else 1 if words & MARKS else 0)
+    return found
 
 
 def parse(page: str) -> Tree:
@@ -66,6 +75,8 @@ def parse(page: str) -> Tree:
     tree, stack, at, size = Tree(), [0], 0, len(page)
     tag, parent, end, dropped, text = tree.tag, tree.parent, tree.end, tree.dropped, tree.text
 
+    doubtful: list[int] = []
+
     def close(down_to: int) -> None:
         while len(stack) > down_to:
             node = stack.pop()
@@ -104,7 +115,10 @@ def parse(page: str) -> Tree:
         tag.append(name)
         parent.append(stack[-1])
         end.append(node + 1)
-        dropped.append(dropped[stack[-1]] or _dropped(name, m[3]))
+        level = _dropped(name, m[3])
+        dropped.append(level == 2 or dropped[stack[-1]])
+        if level == 1 and not dropped[-1]:
+            doubtful.append(node)
         if name in BLOCK:
             text.append((-1, " "))
         if name in VOID or m[4] and name not in BLOCK and name not in RAW:
@@ -115,6 +129,13 @@ def parse(page: str) -> Tree:
             continue
         stack.append(node)
     close(0)
+    if doubtful:
+        before = [0]  # articles among the nodes before each
+        for name, gone in zip(tag, dropped, strict=True):
+            before.append(before[-1] + (name in MAIN and not gone))
+        for node in doubtful:
+            if not dropped[node] and before[end[node]] == before[node]:
+                dropped[node : end[node]] = [True] * (end[node] - node)
     return tree
 
 
