@@ -192,3 +192,13 @@ def test_layout(spark):
     assert [(r.band, r.top, r.bottom) for r in bands] == [(1, 3, 8), (2, 20, 30)]
     grey = [(1, 10, 500), (1, 240, 1500)]
     assert layout.otsu(spark.createDataFrame(grey, "image_id long, level int, n long")).first().threshold == pytest.approx(125.0)
+
+
+def test_midlines_and_nearest_boxes(spark):
+    line = layout.midline([(0, 0), (100, 20), (100, 30), (0, 10)], 4)
+    assert len(line) == 4 and all(abs(y - (5 + 0.2 * x)) < 1.5 for x, y in line) and line[0][0] < line[-1][0]
+    got = spark.createDataFrame([([[0.0, 0.0], [10.0, 0.0], [10.0, 4.0], [0.0, 4.0]],)], "o array<array<double>>").select(layout.baseline_of(F.col("o"), 2).alias("b")).first().b
+    assert [[round(v, 6) for v in p] for p in got] == [[2.5, 2.0], [7.5, 2.0]]
+    words = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 9.0, 0.0)], "line_id long, word_id long, x double, y double")
+    boxes = spark.createDataFrame([(1, 5, 1.0, 0.0), (1, 4, -1.0, 0.0), (1, 6, 9.0, 3.0)], "line_id long, box_id long, x double, y double")
+    assert {r.word_id: (r.box_id, r.distance) for r in layout.nearest_boxes(words, boxes).collect()} == {1: (4, 1.0), 2: (6, 3.0)}

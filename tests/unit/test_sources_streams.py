@@ -52,6 +52,12 @@ def test_recognition_results(spark, tmp_path):
     assert sorted((r.order_index, r.predicted) for r in lines.collect()) == [(0, "да"), (1, None)] and [(r.position, r.text, r.confidence) for r in words.collect()] == [(0, "да", 0.5)]
 
 
+def test_strict_schemas():
+    schema = {"type": "object", "properties": {"a": {"type": "array", "items": {"type": "object", "properties": {"b": {}}}}}, "anyOf": [{"properties": {"c": {}}}]}
+    out = X.strict_schema(schema)
+    assert out["required"] == ["a"] and out["additionalProperties"] is False and out["properties"]["a"]["items"]["required"] == ["b"] and out["anyOf"][0]["required"] == ["c"]
+
+
 def test_manuscripts_need_confirmation(spark):
     pages = spark.createDataFrame([(1, 10, "CONFIRMED", None), (1, 11, "EDITING", "x.png")], "user_id long, page_id long, status string, file_name string")
     lines = spark.createDataFrame([(10, 5, 1, "", "низ"), (10, 4, 0, "верх", "верт"), (11, 6, 0, None, "x")], "page_id long, line_id long, order_index int, corrected string, predicted string")

@@ -174,3 +174,44 @@ def merged_outline(pieces: Column) -> Column:
         return column.map(lambda ps: [list(p) for p in hull([(float(x), float(y)) for poly in ps for x, y in poly])])
 
     return apply(pieces)
+
+
+def midline(points: list[tuple[float, float]], steps: int = 16) -> list[tuple[float, float]]:
+    """Points along the middle of an outline, in order of its long axis, left to right."""
+    import numpy as np
+
+    p = np.array(points, float)
+    if len(p) < 3:
+        return [tuple(x) for x in p.tolist()]
+    centre = p.mean(axis=0)
+    axis = np.linalg.eigh(np.cov((p - centre).T))[1][:, -1]
+    axis = axis if axis[0] >= 0 else -axis
+    across = np.array([-axis[1], axis[0]])
+    closed = np.vstack([p, p[:1]])
+    dense = np.concatenate([a + (b - a) * np.linspace(0, 1, 33)[:-1, None] for a, b in zip(closed[:-1], closed[1:], strict=True)])
+    u, v = (dense - centre) @ axis, (dense - centre) @ across
+    edges = np.linspace(u.min(), u.max(), steps + 1)
+    cell = np.clip(np.searchsorted(edges, u, "right") - 1, 0, steps - 1)
+    out = []
+    for k in range(steps):
+        own = v[cell == k]
+        if len(own):
+            out.append(tuple((centre + axis * (edges[k] + edges[k + 1]) / 2 + across * (own.min() + own.max()) / 2).tolist()))
+    return out
+
+
+def baseline_of(outline: Column, steps: int = 16) -> Column:
+    """P11 on a column of outlines."""
+
+    @F.pandas_udf("array<array<double>>")
+    def apply(column: pd.Series) -> pd.Series:
+        return column.map(lambda ps: [list(q) for q in midline([(float(x), float(y)) for x, y in ps], steps)] if ps is not None else None)
+
+    return apply(outline)
+
+
+def nearest_boxes(words: DataFrame, boxes: DataFrame) -> DataFrame:
+    """For each word (line_id, word_id, x, y of its middle) the box of its line (box_id, x, y) whose middle is nearest, the smaller id among equals."""
+    b = boxes.select("line_id", "box_id", F.col("x").alias("_x"), F.col("y").alias("_y"))
+    far = F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))
+    return words.join(b, "line_id").groupBy("line_id", "word_id").agg(F.min_by("box_id", F.struct(far.alias("d"), F.col("box_id").alias("b"))).alias("box_id"), F.min(far).alias("distance"))

@@ -9,7 +9,7 @@ BACKOFF, FLOOR = 0.4, -12.0
 
 
 def char_ngrams(texts: DataFrame, order: int = 6, *, text: str = "text", weight: str | None = None) -> DataFrame:
-    """Counts (n, context, next, count) of character n-grams up to ``order``.
+    """Counts (n, context, next, count) of character n-grams up to ``order``.
 
     A text's n-grams do not cross its bounds. ``weight`` multiplies a text's counts (N04),
     so that a favoured corpus need not be repeated.

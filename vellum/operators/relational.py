@@ -298,3 +298,50 @@ def running_budget(files: DataFrame, budget: int, order: str = "path", size: str
     """Files in order as long as what came before is within the budget; the one that crosses it is the last."""
     before = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("_before", F.coalesce(F.sum(size).over(before), F.lit(0))).where(F.col("_before") < budget).drop("_before")
+
+
+# --- reports --------------------------------------------------------------------------
+
+
+def open_conflicts(conflicts: DataFrame, facts: DataFrame, people: DataFrame, most: int = 200) -> DataFrame:
+    """Conflicts without a resolution, the newest ``most``, with their fact and subject where these are known."""
+    rows = conflicts.where("resolved_at IS NULL").orderBy(F.col("id").desc()).limit(most)
+    rows = rows.join(facts.select(F.col("id").alias("existing_fact_id"), F.col("predicate")), "existing_fact_id", "left")
+    return rows.join(people.select(F.col("id").alias("subject_id"), F.col("name").alias("subject")), "subject_id", "left")
+
+
+def stale_versions(stored: DataFrame, current: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Stored results with whether a newer version exists; without a current version they are not stale."""
+    now = current.select(*keys, F.col("version").alias("_now"))
+    return stored.join(now, list(keys), "left").withColumn("stale", F.coalesce(F.col("version") != F.col("_now"), F.lit(False))).drop("_now")
+
+
+def evidence_report(edges: DataFrame, confirmations: DataFrame, sources: DataFrame, people: DataFrame) -> DataFrame:
+    """C20: relations with the names of their ends and the sources that say so; one without a confirmation stays."""
+    names = people.select(F.col("id").alias("_id"), F.col("name").alias("_name"))
+    rows = edges.join(names.withColumnsRenamed({"_id": "from_id", "_name": "from_name"}), "from_id").join(names.withColumnsRenamed({"_id": "to_id", "_name": "to_name"}), "to_id")
+    said = confirmations.join(sources.select(F.col("id").alias("source_id"), "title"), "source_id").select("relation_id", "source_id", "title", "confidence")
+    return rows.join(said, F.col("id") == F.col("relation_id"), "left").select("id", "from_name", "relation_kind", "to_name", "source_id", "title", "confidence")
+
+
+def affected_relations(confirmations: DataFrame, sources: DataFrame) -> DataFrame:
+    """Relations that any of the sources confirms."""
+    return confirmations.join(sources.select("source_id").distinct(), "source_id", "left_semi").select("relation_id").distinct()
+
+
+def run_counters(items: DataFrame, kind: str = "kind") -> DataFrame:
+    """How many items of each kind a run has."""
+    return items.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def decision_log(events: DataFrame) -> DataFrame:
+    """Decisions on suggestions by action and dictionary verdict."""
+    return events.groupBy("action", "in_lexicon").agg(F.count("*").alias("n"))
+
+
+def line_seams(lines: DataFrame) -> DataFrame:
+    """The last word of each line beside the first word of the next one with words on its page."""
+    words = T.space_tokens(F.col("text"))
+    rows = lines.withColumn("_w", words).where(F.size("_w") > 0)
+    head = F.lead(F.get("_w", F.lit(0))).over(Window.partitionBy("page_id").orderBy("order_index"))
+    return rows.select("page_id", "order_index", F.element_at("_w", -1).alias("tail"), head.alias("head")).where("head IS NOT NULL")

@@ -62,12 +62,11 @@ def evaluation(spark, sf):
     return X.evaluation_pages(_pages(spark, sf), ["EDITING"]).select("page_id", "order_index", "reference")
 
 
-@register("b11_open_conflicts", "SELECT * FROM (SELECT o_orderkey AS id, c_name AS subject, row_number() OVER (ORDER BY o_orderkey DESC)::INT AS position FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'O') WHERE position <= 200")
+@register("b11_open_conflicts", "SELECT o_orderkey AS id, CASE WHEN o_custkey % 2 = 0 THEN c_name END AS subject FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'O' ORDER BY o_orderkey DESC LIMIT 200")
 def open_conflicts(spark, sf):
-    rows = D.table(spark, sf, "orders").where("o_orderstatus = 'O'").orderBy(F.col("o_orderkey").desc()).limit(200)
-    names = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("subject"))
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("o_orderkey").desc()))
-    return rows.join(names, "o_custkey", "left").select(F.col("o_orderkey").alias("id"), "subject", place.alias("position"))
+    rows = D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("subject_id"), F.lit(None).cast("long").alias("existing_fact_id"), F.when(F.col("o_orderstatus") != "O", 1).alias("resolved_at"))
+    people = D.table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return R.open_conflicts(rows, spark.createDataFrame([], "id long, predicate string"), people).select("id", "subject")
 
 
 @register("b12_recognized", "SELECT c_nationkey AS source_id, lower(c_mktsegment) AS normalized_name, max(c_acctbal) AS score, count(*) AS n_mentions FROM customer WHERE c_acctbal >= 5000 GROUP BY ALL")
@@ -76,9 +75,24 @@ def recognized(spark, sf):
     return S.recognized_entities(rows, 5000).drop("entity_type")
 
 
-@register("b14_stale_insights", "SELECT user_id, count(*) <> 500 AS stale FROM events GROUP BY user_id")
+@register("b14_stale_insights", "WITH v AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT user_id, n % 2 = 1 AS stale FROM v")
 def stale(spark, sf):
-    return D.table(spark, sf, "events").groupBy("user_id").agg((F.count("*") != 500).alias("stale"))
+    now = D.table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("version"))
+    return R.stale_versions(now.withColumn("version", F.col("version") - F.col("version") % 2), now, ["user_id"]).select("user_id", "stale")
+
+
+@register(
+    "c20_evidence_report",
+    f"""WITH {D.EDGES}, r AS (SELECT from_id, to_id, min(id) AS id, min(relation_kind) AS relation_kind FROM edges WHERE from_id < 10 GROUP BY 1, 2)
+SELECT r.id, a.s_name AS from_name, r.relation_kind, b.s_name AS to_name, e.source_id FROM r JOIN supplier a ON a.s_suppkey = from_id JOIN supplier b ON b.s_suppkey = to_id LEFT JOIN edges e ON e.from_id = r.from_id AND e.to_id = r.to_id AND e.source_id % 2 = 0""",
+)
+def evidence_report(spark, sf):
+    rows = D.edges(spark, sf).where("from_id < 10")
+    heads = rows.groupBy("from_id", "to_id").agg(F.min("id").alias("id"), F.min("relation_kind").alias("relation_kind"))
+    said = rows.where("source_id % 2 = 0").join(heads.select("from_id", "to_id", F.col("id").alias("relation_id")), ["from_id", "to_id"]).select("relation_id", "source_id", "confidence")
+    sources = rows.select(F.col("source_id").alias("id"), F.lit("t").alias("title")).distinct()
+    people = D.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return R.evidence_report(heads, said, sources, people).select("id", "from_name", "relation_kind", "to_name", "source_id")
 
 
 @register("b15_folder_names", "SELECT s_suppkey, s_name || ' x' AS name FROM supplier")
@@ -127,19 +141,18 @@ def backfill(spark, sf):
 
 @register("d10_affected_relations", "SELECT DISTINCT l_partkey % 500 AS relation_id FROM lineitem WHERE l_orderkey = 7 OR l_orderkey = 8")
 def affected(spark, sf):
-    return D.table(spark, sf, "lineitem").where("l_orderkey IN (7, 8)").select((F.col("l_partkey") % 500).alias("relation_id")).distinct()
+    rows = D.table(spark, sf, "lineitem").select((F.col("l_partkey") % 500).alias("relation_id"), F.col("l_orderkey").alias("source_id"))
+    return R.affected_relations(rows, spark.createDataFrame([(7,), (8,)], "source_id long"))
 
 
 @register("d20_run_counters", "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1")
 def counters(spark, sf):
-    return D.table(spark, sf, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
+    return R.run_counters(D.table(spark, sf, "events"), "event_type")
 
 
-@register("e09_line_tails", f"WITH {D.LINES}, t AS (SELECT page_id, order_index, string_split(trim(text), ' ') AS w FROM lines WHERE trim(text) <> ''), a AS (SELECT page_id, order_index, w[-1] AS tail, lead(w[1]) OVER (PARTITION BY page_id ORDER BY order_index) AS head FROM t) SELECT page_id, order_index::INT AS order_index, tail, head FROM a WHERE head IS NOT NULL")
-def line_tails(spark, sf):
-    w = Window.partitionBy("page_id").orderBy("order_index")
-    rows = D.lines(spark, sf).where("trim(text) <> ''").withColumn("w", F.split(F.trim("text"), " "))
-    return rows.select("page_id", "order_index", F.element_at("w", -1).alias("tail"), F.lead(F.get("w", F.lit(0))).over(w).alias("head")).where("head IS NOT NULL")
+@register("e09_line_seams", f"WITH {D.LINES}, t AS (SELECT page_id, order_index, regexp_extract_all(text, '\\S+') AS w FROM lines), a AS (SELECT page_id, order_index, w[-1] AS tail, lead(w[1]) OVER (PARTITION BY page_id ORDER BY order_index) AS head FROM t WHERE len(w) > 0) SELECT page_id, order_index::INT AS order_index, tail, head FROM a WHERE head IS NOT NULL")
+def line_seams(spark, sf):
+    return R.line_seams(D.lines(spark, sf))
 
 
 @register("f02_kin_places", f"WITH {D.EDGES} SELECT relation_kind, CASE relation_kind WHEN 'father' THEN 4 WHEN 'mother' THEN 4 WHEN 'brother' THEN 1 WHEN 'wife' THEN 0 WHEN 'uncle' THEN 2 END AS up, count(*) AS n FROM edges GROUP BY 1, 2")

@@ -202,3 +202,11 @@ def parse_answers(answers: DataFrame, kind: str, json_col: str = "json") -> Data
     body = F.from_json(T.first_json_object(F.col(json_col)), f"struct<{kind}:array<struct<{fields}>>>")
     rows = answers.where(F.col("kind") == kind).select("source_id", F.posexplode(body[kind]).alias("item", "r"))
     return rows.where("r IS NOT NULL").select("source_id", "item", "r.*")
+
+
+def strict_schema(schema: dict) -> dict:
+    """A JSON schema in which every object names all its properties as required and allows no others."""
+    out = {k: strict_schema(v) if isinstance(v, dict) else [strict_schema(x) if isinstance(x, dict) else x for x in v] if isinstance(v, list) else v for k, v in schema.items()}
+    if isinstance(out.get("properties"), dict):
+        out |= {"required": list(out["properties"]), "additionalProperties": False}
+    return out
