@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the reliable checkpoint folder.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The reliable checkpoint folder: that of the context, else spark.checkpoint.dir of the session.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set, as in tests,
-    a temporary folder is used.
+    Only where neither is set, as in tests, a temporary folder is made.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="vellum-checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellum-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cuts lineage through the checkpoint folder, so that lost executors lose nothing."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

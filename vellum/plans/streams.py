@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.catalog import register
-from vellum.operators.components import durable
+from vellum.operators.components import checkpoint_folder
 from vellum.plans import tables as D
 from vellum.streaming import archive as A
 
 
 def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """Result of a stream, through the checkpoint folder of the session."""
-    durable(spark.range(1))  # sets the folder where a test has none
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
     return A.run_once(stream, f"t_{uuid.uuid4().hex}", mode, folder)
 
 
