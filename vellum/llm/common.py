@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.operators.components import connected, durable
+from vellum.operators.components import checkpoint_folder, connected, durable
 
 __all__ = ["WORD", "connected", "durable", "row_key", "stored", "text_bytes"]
 
@@ -28,10 +27,7 @@ def stored(df: DataFrame) -> DataFrame:
 
     For wide rows; `durable` keeps narrow ones. The folder is that of the run and goes with it.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="vellum-checkpoint-"))
-    path = f"{context._jsc.sc().getCheckpointDir().get()}/stage-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
