@@ -23,6 +23,13 @@ _PAIRS = r"""p AS (SELECT * FROM (SELECT doc_id, source, lang, substr(text, 1, 4
 WHERE hypothesis IS NOT NULL AND regexp_full_match(reference, '[\x00-\x7F]*') AND regexp_full_match(hypothesis, '[\x00-\x7F]*'))"""
 
 
+def _whole(spark, sf):
+    """Pairs of whole texts, each document and the next of its source and language, in all languages."""
+    w = Window.partitionBy("source", "lang").orderBy("doc_id")
+    rows = D.table(spark, sf, "documents").select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("reference"), F.lead(F.coalesce("text", F.lit(""))).over(w).alias("hypothesis"))
+    return rows.where("hypothesis IS NOT NULL").repartition(4 * spark.sparkContext.defaultParallelism, "doc_id")  # few bytes, much work
+
+
 @register("l01_levenshtein", f"WITH {_PAIRS} SELECT doc_id, levenshtein(reference, hypothesis)::INT AS char_distance, length(reference)::INT AS char_reference FROM p")
 def levenshtein(spark, sf):
     return Q.pair_counts(_pairs(spark, sf), words=False).select("doc_id", "char_distance", "char_reference")
@@ -30,7 +37,7 @@ def levenshtein(spark, sf):
 
 @register("l02_word_distance")
 def word_distance(spark, sf):
-    return Q.row_rates(Q.pair_counts(_pairs(spark, sf))).select("doc_id", "word_distance", "word_reference", "cer", "wer")
+    return Q.row_rates(Q.pair_counts(_whole(spark, sf), long=True)).select("doc_id", "word_distance", "word_reference", "cer", "wer")
 
 
 @register("l03_cer", f"WITH {_PAIRS} SELECT doc_id, CASE WHEN length(reference) = 0 THEN CASE WHEN length(hypothesis) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(reference, hypothesis) / length(reference) END::DOUBLE AS cer FROM p")
@@ -46,7 +53,7 @@ def error_rates(spark, sf):
 
 @register("d15_word_rates")
 def word_rates(spark, sf):
-    return Q.rates(Q.pair_counts(_pairs(spark, sf)), ["source"])
+    return Q.rates(Q.pair_counts(_whole(spark, sf), long=True), ["source"])
 
 
 @register("l04_accuracy_gate", f"WITH {_PAIRS} SELECT count(*) FILTER (reference = hypothesis) AS equal_lines, 0::BIGINT AS extra_lines, sum(levenshtein(reference, hypothesis)) / sum(length(reference)) AS cer, sum(levenshtein(reference, hypothesis)) / sum(length(reference)) <= 0.05 AS passed FROM p")
@@ -57,10 +64,11 @@ def gate(spark, sf):
 
 
 def _configs(spark, sf):
-    """Three settings a page: the settings k cut the hypothesis at 10 k characters."""
+    """Three settings a page: the setting k keeps the first k thirds of the hypothesis."""
     cut = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("config")
-    rows = _pairs(spark, sf).select("*", cut).withColumn("hypothesis", F.substring(F.col("hypothesis"), F.lit(1), F.col("config") * 10)).withColumn("page_id", F.col("doc_id") % 5)
-    return Q.pair_counts(rows)
+    kept = F.ceil(F.length("hypothesis") * F.col("config") / 3).cast("int")
+    rows = _whole(spark, sf).select("*", cut).withColumn("hypothesis", F.substring(F.col("hypothesis"), F.lit(1), kept)).withColumn("page_id", F.col("doc_id") % 5)
+    return Q.pair_counts(rows, long=True)
 
 
 @register("d22_best_config")
@@ -75,7 +83,7 @@ def leave_one_page_out(spark, sf):
 
 @register("d13_confusions")
 def confusions(spark, sf):
-    return Q.confusions(_pairs(spark, sf).select(F.col("hypothesis").alias("predicted"), F.col("reference").alias("corrected")))
+    return Q.confusions(_whole(spark, sf).select(F.col("hypothesis").alias("predicted"), F.col("reference").alias("corrected")))
 
 
 @register("d14_examples", f"WITH {_PAIRS}, f AS (SELECT reference AS corrected, arg_min(hypothesis, doc_id) AS predicted, min(doc_id) AS d FROM p GROUP BY 1) SELECT predicted, corrected FROM f ORDER BY abs(length(predicted) - length(corrected)), length(corrected), d LIMIT 5")
@@ -85,13 +93,13 @@ def examples(spark, sf):
 
 @register("l05_substitutions")
 def substitutions(spark, sf):
-    rows = _pairs(spark, sf).select("doc_id", F.explode(U.substitution_pairs(F.col("hypothesis"), F.col("reference"))).alias("p"))
+    rows = _whole(spark, sf).select("doc_id", F.explode(U.substitution_pairs(F.col("hypothesis"), F.col("reference"))).alias("p"))
     return rows.groupBy("p.recognized", "p.correct").agg(F.count("*").alias("n"))
 
 
 @register("l06_word_changes")
 def word_changes(spark, sf):
-    return _pairs(spark, sf).select("doc_id", F.posexplode(U.changes(F.col("reference"), F.col("hypothesis"))).alias("position", "c")).select("doc_id", "position", "c.before", "c.after", "c.start", "c.end")
+    return _whole(spark, sf).select("doc_id", F.posexplode(U.changes(F.col("reference"), F.col("hypothesis"))).alias("position", "c")).select("doc_id", "position", "c.before", "c.after", "c.start", "c.end")
 
 
 @register("l07_verified_changes")
@@ -99,7 +107,7 @@ def verified(spark, sf):
     from vellum.operators import lexicon as L
     from vellum.plans import language
 
-    lines = _pairs(spark, sf).select(F.col("doc_id").alias("line_id"), F.col("reference").alias("before"), F.col("hypothesis").alias("after"))
+    lines = _whole(spark, sf).select(F.col("doc_id").alias("line_id"), F.col("reference").alias("before"), F.col("hypothesis").alias("after"))
     words = lines.select(F.explode(F.split("after", " ")).alias("word"))
     return Q.verified_changes(lines, L.verdicts(words, language._base(spark, sf)))
 
