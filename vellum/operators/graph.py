@@ -25,6 +25,8 @@ def paths(edges: DataFrame, subjects: DataFrame, depth: int = 3) -> DataFrame:
     start on. Neighbours one edge away are visited but not returned.
     """
     steps = edges.where("from_id <> to_id").select("from_id", "to_id", F.coalesce("relation_type", F.lit("")).alias("relation_type"), "id")
+    # of parallel edges only the first by type, then id, can be on the chosen chain
+    steps = steps.groupBy("from_id", "to_id").agg(F.min(F.struct("relation_type", "id")).alias("e")).select("from_id", "to_id", "e.*")
     here = subjects.select("subject", F.col("subject").alias("node"), F.array("subject").alias("chain"), F.array().cast("array<string>").alias("types"), F.array().cast("array<struct<t:string,i:bigint>>").alias("order"))
     seen, found = here.select("subject", "node"), None
     for d in range(1, depth + 1):

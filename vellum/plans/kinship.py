@@ -139,7 +139,8 @@ def people_mentioned(spark, sf):
 @register("g05_path_labels")
 def path_labels(spark, sf):
     people = D.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    found = G.decorate(G.paths(_sparse(spark, sf), spark.range(20).withColumnRenamed("id", "subject")), people)
+    edges = D.edges(spark, sf).select("id", F.col("from_id").cast("long").alias("from_id"), F.col("to_id").cast("long").alias("to_id"), "relation_type")
+    found = G.decorate(G.paths(edges, people.select(F.col("id").cast("long").alias("subject"))), people)
     return found.select("subject", "target", G.path_label(F.col("names")).alias("label"))
 
 
