@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from vellum import catalog
+from vellum.operators import edges as E
+from vellum.operators import graph as G
 from vellum.plans import tables as D
 
 LINES = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_quantity double, l_discount double"
@@ -40,3 +43,41 @@ def test_path_labels_of_all_subjects_over_all_edges(spark, archive):
                 want |= {(subject, k): " → ".join(f"name {x}" if 1 <= x <= 40 else "?" for x in chain[::-1]) for k, (_, chain) in here.items()}
     got = {(r.subject, r.target): r.label for r in catalog.queries()["g05_path_labels"](spark, archive).collect()}
     assert got == want and {s for s, _ in got} - set(range(20))
+
+
+def test_levels_and_units_of_all_users_over_all_relations(spark, archive):
+    canonical = E.canonicalize(D.edges(spark, archive)).collect()
+    run = lambda name: catalog.queries()[name](spark, archive).collect()
+    got = {(r.user_id, r.node): (r.component, r.level) for r in run("g07_levels")}
+    want = {}
+    for user in range(5):
+        # the forest of the best edges by brute force: relabel whole parts
+        rows = sorted((r for r in canonical if r.user_id == user and r.delta is not None and r.from_id != r.to_id), key=lambda r: (-(r.confidence or 0), -r.n_sources, r.id, r.from_id, r.to_id))
+        part = {x: {x: 0} for r in rows for x in (r.from_id, r.to_id)}
+        for r in rows:
+            a, b = part[r.from_id], part[r.to_id]
+            if a is not b:
+                shift = a[r.from_id] + r.delta - b[r.to_id]
+                a |= {x: v + shift for x, v in b.items()}
+                part |= dict.fromkeys(b, a)
+        want |= {(user, x): (min(p), p[x] - min(p.values())) for x, p in part.items()}
+    assert got == want and {u for u, _ in got} == set(range(5))
+    assert {(r.user_id, r.node): r.level for r in run("g12_graph_payload") if r.level is not None}.keys() <= got.keys()
+    assert {r.user_id for r in run("g12_graph_payload")} == {r.user_id for r in run("g15_default_root")} == set(range(5))
+    wrong = {(r.user_id, r.id) for r in canonical if r.delta is not None and (r.user_id, r.from_id) in got and (r.user_id, r.to_id) in got and got[r.user_id, r.to_id][1] - got[r.user_id, r.from_id][1] != r.delta}
+    assert {(r.user_id, r.id) for r in run("g08_level_mismatches")} == wrong
+    nodes = {(r.user_id, x) for r in D.edges(spark, archive).collect() for x in (r.from_id, r.to_id)}
+    assert {(r.user_id, r.node) for r in run("g10_unplaced")} == nodes - got.keys()
+    unit = {k: {k} for k in range(1, 41)}
+    for r in canonical:
+        if r.canon_key == "pair:spouse":
+            both = unit.setdefault(r.from_id, {r.from_id}) | unit.setdefault(r.to_id, {r.to_id})
+            unit |= dict.fromkeys(both, both)
+    assert {r.node: r.unit for r in run("g13_spouse_units")} == {k: min(unit[k]) for k in range(1, 41)}
+
+
+def test_shards_of_a_family_keep_its_forest():
+    rng = random.Random(3)
+    rows = pd.DataFrame([(7, 7, 1, k, rng.randrange(30), rng.randrange(30), rng.randrange(-2, 3), -rng.randrange(3) / 2, -rng.randrange(1, 3)) for k in range(600)], columns=["user_id", "_root", "component", "id", "from_id", "to_id", "delta", "rank_confidence", "rank_sources"])
+    parts = pd.concat([G._forest(rows[rows.id % 16 == k]) for k in range(16)])
+    assert len(parts) <= 16 * 29 and G._levels_of(parts).equals(G._levels_of(rows))

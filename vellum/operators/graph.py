@@ -81,8 +81,12 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("node").cast("long").alias("node")).distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
-def _levels_of(group: pd.DataFrame) -> pd.DataFrame:
-    """Levels of one component: a forest of the best edges, walked from any node, shifted to least zero."""
+#: Parts to which the edges of one family are dealt.
+SHARDS = 16
+
+
+def _forest(group: pd.DataFrame) -> pd.DataFrame:
+    """The edges of the best spanning forest, in order of rank."""
     group = group.sort_values(["rank_confidence", "rank_sources", "id", "from_id", "to_id"], kind="stable")
     parent: dict[int, int] = {}
 
@@ -92,13 +96,21 @@ def _levels_of(group: pd.DataFrame) -> pd.DataFrame:
             x = parent[x]
         return x
 
+    kept = []
+    for a, b in zip(group.from_id.tolist(), group.to_id.tolist(), strict=True):
+        p, q = find(a), find(b)
+        kept.append(p != q)
+        parent[p] = q
+    return group[kept]
+
+
+def _levels_of(group: pd.DataFrame) -> pd.DataFrame:
+    """Levels of one component: a forest of the best edges, walked from any node, shifted to least zero."""
+    group = _forest(group)
     near: dict[int, list[tuple[int, int]]] = {}
     for a, b, step in zip(group.from_id.tolist(), group.to_id.tolist(), group.delta.tolist(), strict=True):
-        p, q = find(a), find(b)
-        if p != q:
-            parent[p] = q
-            near.setdefault(a, []).append((b, step))
-            near.setdefault(b, []).append((a, -step))
+        near.setdefault(a, []).append((b, step))
+        near.setdefault(b, []).append((a, -step))
     start = min(near) if near else None
     level = {} if start is None else {start: 0}
     ahead = list(level)
@@ -118,7 +130,8 @@ def levels(canonical: DataFrame) -> DataFrame:
 
     Each component's spanning forest prefers edges of higher confidence, then more
     sources, then ids; levels follow it. Edges without a generation step join nothing. A
-    component is one person's family, so that a task holds it.
+    large family's edges are dealt to shards first: what a shard's own forest leaves out is
+    in no forest of the whole, so that the last task holds a few edges a person.
     """
     rows = canonical.where("delta IS NOT NULL AND from_id <> to_id")
     # people of different users are different nodes: number them together
@@ -130,6 +143,8 @@ def levels(canonical: DataFrame) -> DataFrame:
     placed = rows.join(roots, ["user_id", "from_id"]).join(first, "_root")
     table = placed.select("user_id", "_root", F.col("component").cast("long"), F.col("id").cast("long"), F.col("from_id").cast("long"), F.col("to_id").cast("long"), F.col("delta").cast("long"), (-F.coalesce("confidence", F.lit(0.0))).alias("rank_confidence"), (-F.col("n_sources")).cast("long").alias("rank_sources"))
     kind = canonical.schema["user_id"].dataType.simpleString()
+    shard = F.pmod(F.xxhash64("id", "from_id", "to_id"), F.lit(SHARDS)).alias("_shard")
+    table = table.groupBy("_root", shard).applyInPandas(_forest, table.schema)
     return table.groupBy("_root").applyInPandas(_levels_of, f"user_id {kind}, component long, node long, level long")
 
 

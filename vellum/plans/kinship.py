@@ -156,7 +156,7 @@ def components(spark, sf):
 
 
 def _kin(spark, sf):
-    return _canonical(spark, sf).where("n_sources >= 3 AND user_id < 3")
+    return _canonical(spark, sf)
 
 
 @register("g07_levels")
@@ -172,7 +172,7 @@ def mismatches(spark, sf):
 
 @register("g10_unplaced")
 def unplaced(spark, sf):
-    nodes = D.edges(spark, sf).where("user_id < 3").select("user_id", F.explode(F.array("from_id", "to_id")).alias("node"))
+    nodes = D.edges(spark, sf).select("user_id", F.explode(F.array("from_id", "to_id")).alias("node"))
     return G.unplaced(nodes, D.edges(spark, sf), G.levels(_kin(spark, sf)))
 
 
@@ -184,14 +184,14 @@ def dangling(spark, sf):
 
 @register("g12_graph_payload")
 def payload(spark, sf):
-    nodes = D.edges(spark, sf).where("user_id < 3").select("user_id", F.col("from_id").alias("node"))
+    nodes = D.edges(spark, sf).select("user_id", F.col("from_id").alias("node"))
     return G.graph_payload(nodes, _kin(spark, sf))[0]
 
 
 @register("g13_spouse_units")
 def spouse_units(spark, sf):
     nodes = D.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"))
-    return G.spouse_units(_canonical(spark, sf).where("n_sources >= 2"), nodes)
+    return G.spouse_units(_canonical(spark, sf), nodes)
 
 
 @register("g14_rooted_tree")
