@@ -177,7 +177,7 @@ def char_model(spark, sf):
 @register("n03_text_logprobs")
 def text_logprobs(spark, sf):
     table = N.model(N.char_ngrams(D.table(spark, sf, "benchmark"), 4), 2)
-    texts = D.table(spark, sf, "documents").where("n_chars < 400").select(F.col("doc_id").alias("id"), "text")
+    texts = D.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return N.text_logprobs(texts, table, 4)
 
 
