@@ -67,3 +67,65 @@ def test_edge_cases(spark):
     assert sorted(len(r.payload) for r in rows) == [64, 64, 64, 64, 1_000_000] and all(r.damaged == 0 for r in rows)
     assert mpeg.inspect(mpeg.media(docs.limit(0))).collect() == []
     assert [r.frames for r in mpeg.inspect(spark.createDataFrame([(None,)], "media binary")).collect()] == [0]
+
+
+def written(data):
+    """The stream of a payload by an independent writer: bits from the standard's tables, the checksum bit by bit."""
+
+    def crc(bits):
+        state = 0xFFFF
+        for bit in bits:
+            state = (state << 1 ^ (0x8005 if (state >> 15) ^ bit else 0)) & 0xFFFF
+        return state
+
+    def frame(rate_index, content):
+        kbps = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320][rate_index]
+        size = 144 * kbps * 1000 // 32000
+        head = 0xFFFA0000 | rate_index << 12 | 2 << 10 | mpeg._HEADS[1][3]
+        side = bytes(len(mpeg._HEADS[1]) - 6)
+        covered = head.to_bytes(4, "big")[2:] + side
+        check = crc([byte >> (7 - k) & 1 for byte in covered for k in range(8)])
+        body = head.to_bytes(4, "big") + check.to_bytes(2, "big") + side + content
+        assert len(body) <= size
+        return body + bytes(size - len(body))
+
+    room = 1440 - len(mpeg._HEADS[14])
+    parts = [data[i : i + room] for i in range(0, len(data), room)]
+    sizes = [144 * k * 1000 // 32000 for k in (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)]
+    frames = [frame(14 if len(p) == room else next(i + 1 for i, s in enumerate(sizes) if s - len(mpeg._HEADS[1]) >= len(p)), p) for p in parts]
+    total = sizes[8] + sum(map(len, frames))
+    seek = bytes(min(255, 256 * (sizes[8] + p * len(frames) // 100 * 1440) // total) for p in range(100))
+    table = frame(9, b"Xing" + (7).to_bytes(4, "big") + len(frames).to_bytes(4, "big") + total.to_bytes(4, "big") + seek)
+    note = b"payload-bytes\0" + len(data).to_bytes(8, "big")
+    tag = b"PRIV" + len(note).to_bytes(4, "big") + b"\0\0" + note
+    return b"ID3\x03\0\0\0\0" + bytes((len(tag) >> 7, len(tag) & 127)) + tag + table + b"".join(frames)
+
+
+def test_an_independent_writer_gives_the_same_stream():
+    for size in (64, 1344, 1408, 2816, 6400, 64 * 777):
+        data = random.Random(size).randbytes(size)
+        assert written(data) == mpeg.store(data)
+
+
+def test_marks_in_the_payload_lose_no_byte():
+    for n in range(1, 3000):
+        data = mpeg.padded(b"TAG" * n)
+        media = mpeg.store(data)
+        s = mpeg.read(media)
+        assert mpeg.payload(media, s) == data and s.skipped == s.damaged == 0 and s.tags == ["id3v2.3"]
+    for mark in (b"TAG", b"ID3\x03\0\0\0\0\0\x7f", b"Xing\0\0\0\x07", b"VBRI", b"\xff\xfb\xe8\0" * 3, b"\xff" * 40):
+        for size in (64, 1408, 2816, 2880):
+            for at in range(max(0, size - 2900), size - len(mark), 1 if size < 1409 else 7):
+                data = bytearray(size)
+                data[at : at + len(mark)] = mark
+                media = mpeg.store(bytes(data))
+                s = mpeg.read(media)
+                assert mpeg.payload(media, s) == data and s.skipped == s.damaged == 0
+                tagged = media + b"TAG" + bytes(125)
+                t = mpeg.read(tagged)
+                assert t.tags == ["id3v1", "id3v2.3"] and t.offsets == s.offsets and t.skipped == 0
+
+
+def test_query_gives_all_offsets(spark, sf_dir):
+    for r in queries.op6_mpeg_media(spark, sf_dir).collect():
+        assert f"frames={len(r.offsets)};" in r.feature and r.feature.endswith(f"last={r.offsets[-1]}") and r.offsets == sorted(set(r.offsets))

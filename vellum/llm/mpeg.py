@@ -172,22 +172,25 @@ def read(data: bytes) -> Stream:
     """Reads a stream, resynchronising wherever no frame header stands where one should.
 
     A header found while searching counts only if another of its kind follows at its
-    frame's end, or the data end there. A frame of variable-bitrate tables has no samples.
-    Any bytes are accepted; what belongs to no frame or tag counts as skipped.
+    frame's end, or the data or the closing tag begin there. A frame of variable-bitrate
+    tables has no samples. The last 128 bytes are a closing tag only if the frames end where
+    they begin, so that no frame's content is taken for one. Any bytes are accepted; what
+    belongs to no frame or tag counts as skipped.
     """
     out, at, synced, end = Stream(), 0, True, len(data)
-    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
-        out.tags.append("id3v1")
-        end -= 128
+    closing = end - 128 if end >= 128 and data[end - 128 : end - 125] == b"TAG" else -1
     while at < end:
-        if data[at : at + 3] == b"ID3" and at + 10 <= end:
+        if synced and at == closing:
+            out.tags.insert(0, "id3v1")
+            break
+        if synced and data[at : at + 3] == b"ID3" and at + 10 <= end:
             at = _tag(data, at, out)
             continue
         h = header(data[at : at + 4])
         if h is not None and at + h.size <= end:
             after = header(data[at + h.size : at + h.size + 4])
             kind = after is not None and (after.version, after.layer, after.rate) == (h.version, h.layer, h.rate)
-            if synced or kind or at + h.size == end:
+            if synced or kind or at + h.size in (end, closing):
                 table = _table(data, at, h) if not out.offsets and out.table is None and h.layer == 3 else None
                 if h.protected and h.layer == 3:
                     out.checked += 1

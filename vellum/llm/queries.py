@@ -44,10 +44,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text stored as MPEG audio and read back."""
+    """Every text stored as MPEG audio and read back, with the offsets of all frames."""
     rows = mpeg.inspect(mpeg.media(_read(spark, sf_dir, "documents")))
     feature = F.concat_ws(";", *[F.concat_ws("=", F.lit(c), F.col(c).cast("string")) for c in ("frames", "samples", "seconds_exact", "checked", "damaged", "skipped", "tags", "vbr")], F.concat(F.lit("last="), F.element_at("offsets", -1).cast("string")))
-    return rows.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+    return rows.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), "offsets")
 
 
 def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
