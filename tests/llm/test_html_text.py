@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -21,6 +22,40 @@ def test_articles_of_the_table_come_out_whole(spark, sf_dir):
         assert r.text == " ".join(html.unescape(want).split()) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
 
 
+def test_articles_come_out_whole_without_their_tag(spark, sf_dir):
+    for r in spark.read.parquet(f"{sf_dir}/../sf0.01/pages.parquet").collect():
+        inner = r.html[r.html.index("<article>") :].partition("</article>")[0]
+        want = re.sub(r"<[^>]*>", lambda m: "" if m[0] in ("<b>", "</b>") else " ", inner)
+        assert html_text.extract(r.html.replace("<article>", "<div>").replace("</article>", "</div>")) == " ".join(html.unescape(want).split())
+
+
+def test_class_words_do_not_remove_the_core():
+    story = f"<div class='share-story'><p>{LONG * 3}</p><p>{LONG * 3}</p></div>"
+    want = " ".join((LONG * 6).split())
+    assert html_text.extract(f"<article>{story}</article>") == want
+    assert html_text.extract(f"<body><nav>a b c</nav>{story}<div class=ad>Buy this now, or later, at a fair price.</div></body>") == want
+    assert html_text.extract(f"<body><div id=related-post class=widget><div class=body>{LONG * 6}</div><div class=share>Share it</div></div><footer>x</footer></body>") == want
+    plain = f"<div><h1>T</h1><p>{LONG * 6}</p><p>{LONG}</p></div>"
+    assert html_text.extract(f"<body>{plain}{story}</body>") == " ".join(f"T {LONG * 7}".split())
+    assert html_text.extract(f"<body><section class=comments><p>{LONG * 9}</p></section>{plain}</body>") == " ".join(f"T {LONG * 7}".split())
+
+
+def test_no_markup_in_the_text():
+    assert html_text.extract("<p class=it's>one</p><p x=\"a>b\">two</p><p y='>' z=a'b>three<br/>four</p><a href=x/>five</a>") == "one two three four five"
+    assert html_text.extract("<p>one</p><p class='open>two</p>") == "one two"
+    assert html_text.extract("<p>one</p><p class") == html_text.extract("<p>one</p><!-- two") == html_text.extract("<p>one</p><!doc") == "one"
+
+
+def test_broken_pages_take_linear_time():
+    million = 10**6
+    pages = ["<a " * million, "<p x='" * million, '<p x="' * million, "<" * million, "<!" * million, "<!--" * million, "</p" * million, "<a =" * million + ">", "<p><table>" + "<b>" * 200_000 + "<h1></h1>" * 100_000, "<b>" * 200_000 + "</i>" * 200_000]
+    pages += ["<div class=ad>" * 100_000 + LONG * 9, "<li>" * 200_000 + LONG, "<style>" * 200_000, "<b x" + "=" * million]
+    for page in pages:
+        began = time.process_time()
+        html_text.extract(page)
+        assert time.process_time() - began < 8, page[:12]
+
+
 def test_boilerplate_goes_without_article_marks():
     page = f"""<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>if (a < b) "<p>no</p>";</script></head><body>
       <div class="site-header">Top</div><div id="cookie-notice">We use cookies.</div><ul class="nav"><li><a href=x>One</a><li><a href=y>Two</a></ul>
