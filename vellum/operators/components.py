@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 def checkpoint_folder(spark: SparkSession) -> str:
     """The reliable checkpoint folder: that of the context, else spark.checkpoint.dir of the session.
 
-    Only where neither is set, as in tests, a temporary folder is made.
+    Where neither is set a single machine, as in tests, gets a temporary folder; a cluster
+    has none that all of it shares, which is an error.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellum-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vellum-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 

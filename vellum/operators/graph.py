@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import kin
-from vellum.operators.components import connected
+from vellum.operators.components import connected, durable
 
 
 def direct_edges(edges: DataFrame, subjects: DataFrame) -> DataFrame:
@@ -136,8 +136,8 @@ def levels(canonical: DataFrame) -> DataFrame:
     rows = canonical.where("delta IS NOT NULL AND from_id <> to_id")
     # people of different users are different nodes: number them together
     ends = rows.select("user_id", F.col("from_id").alias("node")).union(rows.select("user_id", "to_id")).distinct()
-    ends = ends.select("user_id", "node", F.xxhash64("user_id", "node").alias("_u"))
-    keyed = rows.select(F.xxhash64("user_id", "from_id").alias("u"), F.xxhash64("user_id", "to_id").alias("v"))
+    ends = durable(ends.select("user_id", "node", F.monotonically_increasing_id().alias("_u")))  # kept, so that the numbers stand
+    keyed = rows.select("user_id", "from_id", "to_id").join(ends.select("user_id", F.col("node").alias("from_id"), F.col("_u").alias("u")), ["user_id", "from_id"]).join(ends.select("user_id", F.col("node").alias("to_id"), F.col("_u").alias("v")), ["user_id", "to_id"]).select("u", "v")
     roots = ends.join(connected(keyed).withColumnRenamed("node", "_u"), "_u", "left").select("user_id", F.col("node").alias("from_id"), F.coalesce("root", "_u").alias("_root"))
     first = roots.groupBy("_root").agg(F.min("from_id").alias("component"))
     placed = rows.join(roots, ["user_id", "from_id"]).join(first, "_root")
