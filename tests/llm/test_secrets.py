@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -67,3 +70,61 @@ def test_redaction(spark):
     docs = spark.createDataFrame([(1, "a token=abcdef0123456789abcdef01234567 b"), (2, None), (3, "plain")], "doc_id long, text string")
     out = secrets.find(docs).join(docs, "doc_id").select("doc_id", secrets.redact(F.col("text"), F.col("findings")).alias("t")).collect()
     assert {r.doc_id: r.t for r in out} == {1: "a [secret] b", 2: None, 3: "plain"}
+
+
+def test_whole_private_keys_are_spanned(spark):
+    body = "\n".join("MIIEpAIBAAKCAQEA" + "x" * 48 for _ in range(25))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    locked = f"-----BEGIN PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}\n-----END PRIVATE KEY-----"
+    cut = f"-----BEGIN EC PRIVATE KEY-----\n{body}"
+    rows = [(1, f"a {key} b"), (2, f"{locked} and {key}"), (3, f"{cut}\nprose goes on, with words"), (4, "-----BEGIN PRIVATE KEY----- is how it begins"), (5, "-----BEGIN PRIVATE KEY----- " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = secrets.find(docs).join(docs, "doc_id").select("doc_id", secrets.redact(F.col("text"), F.col("findings")).alias("t")).collect()
+    text = {r.doc_id: r.t for r in out}
+    assert (text[1], text[2], text[3], text[4]) == ("a [secret] b", "[secret] and [secret]", "[secret]\nprose goes on, with words", "[secret] is how it begins")
+    assert text[5] == "[secret] " * 5000
+
+
+def test_very_many_matches_take_near_linear_time(spark):
+    n = 500_000
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("token=abcdef "), n).alias("text"))
+    began = time.time()
+    found = secrets.report(docs, secrets.update(docs))
+    row = found.select(F.size("findings").alias("n"), F.element_at("findings", -1).alias("last")).first()
+    assert row.n == n and tuple(row["last"]) == ("assign", 13 * (n - 1), 13 * n - 1)
+    clean = found.join(docs, "doc_id").select(F.sha2(secrets.redact(F.col("text"), F.col("findings")), 256).alias("h")).first().h
+    assert clean == hashlib.sha256(b"[secret] " * n).hexdigest()
+    assert time.time() - began < 120
+
+
+def test_redaction_of_overlapping_spans(spark):
+    rng = random.Random("overlaps")
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("abcdé\U0001f600 ") for _ in range(rng.randrange(1, 120)))
+        spans = sorted((a, min(len(text), a + rng.randrange(1, 9))) for a in (rng.randrange(len(text)) for _ in range(rng.randrange(1, 14))))
+        rows.append((i, text, [("x", a, b) for a, b in spans]))
+    frame = spark.createDataFrame(rows, "id long, text string, findings array<struct<kind:string,start:int,end:int>>")
+    for r in frame.select("id", secrets.redact(F.col("text"), F.col("findings")).alias("t")).collect():
+        _, text, spans = rows[r.id]
+        want, at = "", 0
+        for _, a, b in spans:
+            want += text[at:a] + "[secret]" if a >= at else ""
+            at = max(at, b)
+        assert r.t == want + text[at:]
+
+
+def test_a_kept_ledger_is_read_and_appended(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    versions = [[(1, "token=abcdef"), (2, "x")], [(1, "token=ghijkl"), (2, "x")], [(1, "token=abcdef"), (2, None), (3, "token=ghijkl")]]
+    sizes = []
+    for rows in versions:
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        ledger = secrets.update(docs, path)
+        sizes.append(ledger.count())
+        assert {r.doc_id: len(r.findings) for r in secrets.report(docs, ledger).collect()} == {i: int("token" in (t or "")) for i, t in rows}
+    new = len(secrets.RULES)
+    assert sizes == [2 * new, 3 * new, 4 * new]
+    before = sorted(os.listdir(path))
+    assert secrets.scan(spark.createDataFrame(versions[0] + versions[1], "doc_id long, text string"), secrets.stored_ledger(spark, path)).count() == 0
+    assert sorted(os.listdir(path)) == before and secrets.stored_ledger(spark, path + "-none") is None
