@@ -10,8 +10,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.test_packing import PATHS, rebuilt
 from tests.llm.test_secrets import brute
-from tests.llm.test_simhash import brute_components
-from vellum.llm import quality, secrets, simhash
+from vellum.llm import quality, secrets
 from vellum.llm.queries import grades
 
 
@@ -19,6 +18,33 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+def brute_groups(texts):
+    """Groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and the similar pairs of different texts."""
+    shingles = {}
+    for i, t in texts.items():
+        own = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        shingles.setdefault(frozenset(" ".join(own[k : k + 5]) for k in range(max(1, len(own) - 4))), []).append(i)
+    sets, pairs = list(shingles), []
+    root = {i: min(ids) for ids in shingles.values() for i in ids}
+    holders = defaultdict(list)
+    for k, s in enumerate(sets):
+        near = Counter(j for x in s for j in holders[x])
+        for j, both in near.items():
+            if both >= 0.8 * (len(s) + len(sets[j]) - both):
+                pairs.append((min(shingles[s]), min(shingles[sets[j]])))
+        for x in s:
+            holders[x].append(k)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low, high = sorted((root[a], root[b]))
+            if low != high:
+                root = {i: low if r == high else r for i, r in root.items()}
+                changed = True
+    return root, pairs
+
+
 def test_stages_on_the_table(spark, sf_dir, tmp_path):
     at = f"{sf_dir}/../sf0.01"
     docs = spark.read.parquet(f"{at}/documents.parquet")
@@ -41,8 +67,12 @@ def test_stages_on_the_table(spark, sf_dir, tmp_path):
     kept = {r[0] for r in rows[1]}
     assert all(i in kept for i, r in labels.items() if r.quality == 1) and not any(i in kept for i, r in labels.items() if r.quality == 0)
 
-    component = brute_components({r[0]: simhash.fingerprint((r[1] or "").encode(), 5) for r in rows[1]})
-    assert Counter(rows[2]) == Counter(r for r in rows[1] if component[r[0]] == r[0]) and len(rows[2]) < len(rows[1])
+    group, pairs = brute_groups({r[0]: r[1] for r in rows[1]})
+    left = {r[0] for r in rows[2]}
+    assert Counter(rows[2]) == Counter(r for r in rows[1] if r[0] in left) and len(rows[2]) < len(rows[1])
+    assert all(i in left for i, root in group.items() if i == root)  # the smallest of each group stays
+    found = [(a, b) for a, b in pairs if not (a in left and b in left)]
+    assert len(pairs) >= 5 and len(found) >= 0.9 * len(pairs)  # of texts that resemble each other without being equal
 
     def redacted(text):
         spans = sorted([(a, b) for _, a, b in brute(text)] + [m.span() for m in re.finditer(secrets.ADDED[0].pattern, text)])
@@ -100,5 +130,26 @@ def test_edge_cases(spark, sf_dir):
     assert len(once) == len({(r.doc_id, r.text) for r in once})
 
 
+def test_columns_come_back(spark, sf_dir):
+    """Columns of the stages' own names keep their names, types and values."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(80)
+    names = ("_key", "_text", "_piece", "copies", "parts", "_first", "key", "row", "findings", "blob", "size", "node", "fps", "first", "words", "expected_grade", "cut", "piece")
+    frame = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names], F.create_map(F.lit("a"), F.col("doc_id")).alias("a map"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, sf_dir)
+        assert out.dtypes == frame.dtypes
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}:{r.doc_id}" for r in rows for n in names) and all(r["a map"] == {"a": r.doc_id} for r in rows)
+
+
+def test_near_duplicates_on_a_larger_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.1/documents.parquet")
+    group, pairs = brute_groups({r.doc_id: r.text for r in docs.select("doc_id", "text").collect()})
+    left = {r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, sf_dir).select("doc_id").collect()}
+    assert all(i in left for i, root in group.items() if i == root)
+    found = sum(not (a in left and b in left) for a, b in pairs)
+    assert len(pairs) >= 40 and found >= 0.9 * len(pairs)
+
+
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
