@@ -8,7 +8,7 @@ stays empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import mixing, packing, quality, secrets, simhash
@@ -19,29 +19,39 @@ from vellum.llm.queries import KEEP_FROM, MIX, TOKENIZER, grades
 ORACLE_SQL = None
 
 
+def _row(docs: DataFrame) -> Column:
+    """All cells of a row as a struct of numbered fields, out of reach of the stages' own names."""
+    return F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+
+
+def _cell(docs: DataFrame, name: str) -> Column:
+    return F.col(f"row.c{docs.columns.index(name)}")
+
+
+def _with(frame: DataFrame, docs: DataFrame, changed: dict[str, Column]) -> DataFrame:
+    """The columns of ``docs`` from the frame's ``row``, those in ``changed`` replaced and of their old types."""
+    return frame.select(*[(changed[c].cast(docs.schema[c].dataType) if c in changed else _cell(docs, c)).alias(c) for c in docs.columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose probability of an acceptable grade is low."""
     model = quality.train(docs, grades(spark, sf_dir), grades=3, most=4000)
-    graded = quality.grade(docs, model, prefix="__pipeline_")
-    return graded.where(F.col("__pipeline_tails")[0] >= KEEP_FROM).select(*docs.columns)
+    graded = quality.grade(docs.select(_row(docs).alias("row"), "text"), model)
+    return _with(graded.where(F.col("tails")[0] >= KEEP_FROM), docs, {})
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near-duplicates the document of the smallest id, once."""
-    keyed = docs.withColumn("_key", row_key(docs))
-    found = simhash.near_duplicates(keyed, width=5, radius=2, carry=["_key"])
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("f"))
-    first = first.select(F.col("f._key").alias("_first"), F.col("f.doc_id").alias("_first_id"))
-    kept = keyed.join(first, (F.col("_key") == F.col("_first")) & F.col("doc_id").eqNullSafe(F.col("_first_id")), "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+    """Keeps of each group of texts of similar shingles the document of the smallest id, once."""
+    return simhash.deduplicate(docs, width=5, similarity=0.8)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mark; texts without any stay as they are."""
-    found = secrets.find(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "text"), id_col="row")
-    clean = secrets.redact(F.col("row.text"), F.col("findings"))
-    changed = {"text": clean, "n_chars": F.when(F.size("findings") > 0, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))}
-    return found.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    rows = docs.select(_row(docs).alias("row"), F.col("text"))
+    found = secrets.report(rows, secrets.update(rows), id_col="row")
+    clean = secrets.redact(_cell(docs, "text"), F.col("findings"))
+    size = F.when(F.size("findings") > 0, F.length(clean)).otherwise(_cell(docs, "n_chars"))
+    return _with(found, docs, {"text": clean, "n_chars": size})
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,21 +60,22 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A document comes whole as often as its whole copies say; of a further copy that is
     taken in part, a row holds each run of its words, joined by spaces.
     """
-    keyed = docs.withColumn("_key", row_key(docs))
-    takes = mixing.mix(keyed, carry=["_key"], **MIX)
+    rows = docs.select(row_key(docs).alias("key"), _row(docs).alias("row"))
+    takes = mixing.mix(docs.select("doc_id", "text", "source", row_key(docs).alias("key")), carry=["key"], **MIX)
     runs = F.arrays_zip("from", "span")
     whole = F.size(F.filter("span", lambda n: n == F.col("size")))
     part = F.filter(runs, lambda x: x["span"] < F.col("size"))
-    takes = takes.select("_key", (F.col("copies") + whole).alias("copies"), part.alias("parts")).where("copies > 0 OR size(parts) > 0")
-    takes = takes.groupBy("_key").agg(F.sum("copies").alias("copies"), F.flatten(F.collect_list(F.when(F.size("parts") > 0, F.col("parts")))).alias("parts"))  # equal rows share a key; a shard cuts a few rows at most
-    pieces = F.concat(F.array_repeat(F.struct(F.lit(None).cast("bigint").alias("from"), F.lit(None).cast("bigint").alias("span")), F.col("copies").cast("int")), F.col("parts"))
-    rows = keyed.join(takes, "_key").dropDuplicates(["_key"]).withColumn("_piece", F.explode(pieces))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("_piece.from") + 1).cast("int"), F.col("_piece.span").cast("int")), " ")
-    text = F.when(F.col("_piece.from").isNull(), F.col("text")).otherwise(cut)
-    rows = rows.withColumn("_text", text)
-    size = F.when(F.col("_piece.from").isNull(), F.col("n_chars")).otherwise(F.length("_text")).cast(docs.schema["n_chars"].dataType)
-    changed = {"text": F.col("_text"), "n_chars": size}
-    return rows.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    takes = takes.select("key", (F.col("copies") + whole).alias("copies"), part.alias("parts")).where("copies > 0 OR size(parts) > 0")
+    # equal rows share a key; two runs a shard cut four rows at most, so a key has few parts
+    takes = stored(takes.groupBy("key").agg(F.sum("copies").alias("copies"), F.flatten(F.collect_list(F.when(F.size("parts") > 0, F.col("parts")))).alias("parts")))
+    none = F.struct(F.lit(None).cast("bigint").alias("from"), F.lit(None).cast("bigint").alias("span"))
+    pieces = F.concat(F.array_repeat(none, F.col("copies").cast("int")), F.col("parts"))
+    once = rows.groupBy("key").agg(F.first("row").alias("row"))  # equal rows meet on each task before they are sent
+    out = once.join(takes, "key").select("row", F.explode(pieces).alias("piece"))
+    cut = F.array_join(F.slice(F.regexp_extract_all(_cell(docs, "text"), F.lit(WORD), F.lit(0)), (F.col("piece.from") + 1).cast("int"), F.col("piece.span").cast("int")), " ")
+    out = out.select("row", F.when(F.col("piece.from").isNull(), _cell(docs, "text")).otherwise(cut).alias("text"), F.col("piece.from").isNotNull().alias("cut"))
+    size = F.when(F.col("cut"), F.length("text")).otherwise(_cell(docs, "n_chars"))
+    return _with(out, docs, {"text": F.col("text"), "n_chars": size})
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

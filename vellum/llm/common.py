@@ -33,5 +33,8 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def row_key(df: DataFrame) -> Column:
-    """A 64-bit hash of a row's columns, by name: equal rows have equal keys."""
-    return F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
+    """A 128-bit hash of a row's columns, by name: equal rows have equal keys, nulls count where they stand."""
+    names = sorted(df.columns)
+    cells = [F.to_json(F.struct(F.col(f"`{c}`").alias("c"))) if "map<" in df.schema[c].dataType.simpleString() else F.col(f"`{c}`") for c in names]
+    nulls = F.array(*[F.col(f"`{c}`").isNull() for c in names])
+    return F.struct(F.xxhash64(*cells, nulls).alias("a"), F.xxhash64(F.lit("again"), nulls, *reversed(cells)).alias("b"))

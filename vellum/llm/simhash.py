@@ -5,20 +5,27 @@ Candidates come from structured bit masks: bit i carries a nonzero vector m(i) o
 GF(2)^(r+1), and the table of a nonzero v keeps the bits with <m(i), v> = 1. For any r
 positions some v is orthogonal to all of their vectors, so every pair within radius r
 agrees on the kept bits of at least one of the 2^(r+1) - 1 tables.
+
+Two bits of a plain majority stand for a shingle similarity of about 0.99. Where the
+similarity is lower, `similar` takes several fingerprints a text: each ranks the shingles
+by a hash of its own and lets a shingle's vote fall by a constant factor with its rank, so
+that two bits tolerate changes in the lower ranks and several fingerprints those in the
+higher. The same masks find the candidates, and their shingles are compared exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import partial
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import connected, durable, text_bytes
+from vellum.llm.common import connected, durable, row_key, stored, text_bytes
 
 BITS = 64
 #: Shingles whose bits are counted at once; bounds the memory of very long texts.
@@ -26,7 +33,10 @@ BLOCK = 1 << 17
 
 
 def _hashes(text: bytes, width: int) -> np.ndarray:
-    words = text.lower().split()
+    return _shingles(text.lower().split(), width)
+
+
+def _shingles(words: list[bytes], width: int) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     if len(words) < width:
@@ -76,46 +86,76 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return rows.mapInArrow(scan, schema).select("id", "fp", *kept)
 
 
-def masks(radius: int) -> list[int]:
-    """Bit masks of the covering tables as signed 64-bit integers."""
+def masks(radius: int, within: int = -1) -> list[int]:
+    """Bit masks of the covering tables over the bits of ``within``, as signed 64-bit integers."""
     order = (1 << (radius + 1)) - 1
+    bits = [i for i in range(BITS) if within >> i & 1]
     found = []
     for v in range(1, order + 1):
-        mask = sum(1 << i for i in range(BITS) if bin((1 + i % order) & v).count("1") % 2)
+        mask = sum(1 << i for n, i in enumerate(bits) if bin((1 + n % order) & v).count("1") % 2)
         found.append(mask - (1 << 64) if mask >> 63 else mask)
     return found
 
 
+def _long(n: int) -> Column:
+    return F.lit(n).cast("long")
+
+
+def _tables(radius: int) -> Column:
+    """The buckets of a fingerprint ``fp``: (t, key) of every table."""
+    return F.array(*[F.struct(F.lit(n).alias("t"), F.col("fp").bitwiseAND(_long(m)).alias("key")) for n, m in enumerate(masks(radius))])
+
+
+def _subtables(radius: int) -> Column:
+    """Of a row (t, fp) the buckets of the tables over the bits that table t leaves out: pairs of one bucket differ in these only."""
+    each = [F.array(*[F.struct(F.lit(n).alias("s"), F.col("fp").bitwiseAND(_long(m)).alias("sub")) for n, m in enumerate(masks(radius, ~outer))]) for outer in masks(radius)]
+    return F.element_at(F.array(*each), F.col("t") + 1)
+
+
+def _by_hub(rows: DataFrame, key: Sequence[str], radius: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (group, u, v) of members within the radius of their bucket's hub, its smallest fingerprint, and the members of buckets that hold others."""
+    hubs = rows.groupBy(*key).agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    seen = durable(rows.join(hubs, list(key)).withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("hub")))))
+    near = seen.where((F.col("d") <= radius) & (F.col("fp") != F.col("hub"))).select("group", F.col("fp").alias("u"), F.col("hub").alias("v"))
+    crowded = seen.groupBy(*key).agg(F.max("d").alias("most"), F.count("*").alias("n")).where((F.col("most") > radius) & (F.col("n") > 2))
+    return near, seen.drop("hub", "d").join(crowded.select(*key), list(key), "left_semi")
+
+
 def links(distinct: DataFrame, *, radius: int = 2) -> DataFrame:
     """Edges (u, v) between distinct fingerprints ``fp`` whose closure is that of all pairs within ``radius``.
 
+    Where rows have a ``group``, fingerprints are distinct and linked within each, and edges have it too.
+
     Each table's bucket has its smallest fingerprint as hub. Members within the radius
-    of the hub get an edge to it. If a bucket also holds others, the exact way is taken
-    for all its members: two fingerprints at distance d <= 2s share a string at distance
-    s from both, so members are dealt to the strings within s = ceil(radius / 2) and each
-    such group, at most as large as a Hamming ball, is a chain. No pairs are emitted.
+    of the hub get an edge to it. If a bucket also holds others, its members are dealt to
+    covering tables of the bits that the bucket leaves open, and once more to hubs. Of
+    buckets that hold others even then, the exact way is taken for all members: two
+    fingerprints at distance d <= 2s share a string at distance s from both, so members are
+    dealt to the strings within s = ceil(radius / 2) and each such set, at most as large as
+    a Hamming ball, is a chain. No pairs are emitted.
     """
-    rows = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(n).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for n, m in enumerate(masks(radius))])).alias("b")).select("fp", "b.t", "b.key")
-    hubs = rows.groupBy("t", "key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    seen = durable(rows.join(hubs, ["t", "key"]).where("fp <> hub").select("t", "key", "fp", "hub", F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))).alias("d")))
-    near = seen.where(F.col("d") <= radius).select(F.col("fp").alias("u"), F.col("hub").alias("v"))
-    crowded = seen.groupBy("t", "key").agg(F.max("d").alias("d"), F.count("*").alias("n"), F.min("hub").alias("hub")).where((F.col("d") > radius) & (F.col("n") > 1))
-    members = seen.join(crowded.select("t", "key"), ["t", "key"], "left_semi").select("fp").union(crowded.select("hub")).distinct()
+    if "group" not in distinct.columns:
+        return links(distinct.select(F.lit(0).alias("group"), "fp"), radius=radius).select("u", "v")
+    rows = distinct.select("group", "fp", F.explode(_tables(radius)).alias("b")).select("group", "fp", "b.t", "b.key")
+    first, crowded = _by_hub(rows, ["group", "t", "key"], radius)
+    crowded = crowded.select("group", "fp", "t", "key", F.explode(_subtables(radius)).alias("b")).select("group", "fp", "t", "key", "b.s", "b.sub")
+    second, crowded = _by_hub(crowded, ["group", "t", "key", "s", "sub"], radius)
+    members = crowded.select("group", "fp").distinct()
     one = [1 << i if i < 63 else -(1 << 63) for i in range(BITS)]
-    ball = F.array(F.lit(0).cast("long"), *[F.lit(b).cast("long") for b in one])
+    ball = F.array(_long(0), *[_long(b) for b in one])
     steps = (radius + 1) // 2
-    spread = members.select("fp", F.col("fp").alias("c"))
+    spread = members.select("group", "fp", F.col("fp").alias("c"))
     for _ in range(steps):
-        spread = spread.select("fp", F.explode(ball).alias("e"), "c").select("fp", F.col("c").bitwiseXOR(F.col("e")).alias("c"))
+        spread = spread.select("group", "fp", F.explode(ball).alias("e"), "c").select("group", "fp", F.col("c").bitwiseXOR(F.col("e")).alias("c"))
     if steps > 1:
         spread = spread.distinct()
-    groups = spread.groupBy("c").agg(F.sort_array(F.collect_list("fp")).alias("all")).where(F.size("all") > 1)
+    sets = spread.groupBy("group", "c").agg(F.sort_array(F.collect_list("fp")).alias("all")).where(F.size("all") > 1)
     if radius % 2:  # an odd radius lets a ball hold pairs one bit too far
         pair = F.explode(F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: (y > x) & (F.bit_count(x.bitwiseXOR(y)) <= radius)), lambda y: F.struct(x.alias("u"), y.alias("v"))))))
-        exact = groups.select(pair.alias("p")).select("p.u", "p.v")
+        exact = sets.select("group", pair.alias("p")).select("group", "p.u", "p.v")
     else:
-        exact = groups.select(F.explode(F.slice("all", F.lit(2), F.size("all") - 1)).alias("u"), F.col("all")[0].alias("v"))
-    return near.union(exact.distinct())
+        exact = sets.select("group", F.explode(F.slice("all", F.lit(2), F.size("all") - 1)).alias("u"), F.col("all")[0].alias("v"))
+    return first.union(second).union(exact).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, carry: Sequence[str] = ()) -> DataFrame:
@@ -139,3 +179,129 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     by_print = durable(distinct.join(joined, "fp", "left").select("fp", found.alias("component_id"), F.coalesce("root", "fp").alias("root")))  # a plain side, so that a hot fingerprint's rows can be split
     digits = [F.lower(F.lpad(F.hex(c), 16, "0")).alias(name) for c, name in (("fp", "fingerprint"), ("root", "root"))]
     return prints.join(by_print, "fp").select(F.col("id").alias(id_col), digits[0], "component_id", digits[1], *[F.col(c) for c in carry])
+
+
+#: How a shingle's vote falls with its rank, and how many ranks vote; what is beyond weighs less than a millionth.
+DECAY, RANKS = 0.58, 26
+_VOTES = DECAY ** np.arange(RANKS)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective mix of 64-bit integers (that of the SplitMix64 generator)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def ranked_fingerprints(hashes: np.ndarray, families: int) -> np.ndarray:
+    """``families`` fingerprints of a set of shingle hashes; zeros for an empty set."""
+    if not len(hashes):
+        return np.zeros(families, np.uint64)
+    seeds = np.arange(1, families + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    best = None
+    for at in range(0, len(hashes), BLOCK):
+        order = _mixed(hashes[None, at : at + BLOCK] + seeds[:, None])
+        if order.shape[1] > RANKS:
+            order = np.partition(order, RANKS - 1, axis=1)[:, :RANKS]
+        best = order if best is None else np.sort(np.concatenate((best, order), axis=1), axis=1)[:, :RANKS]
+    best = np.sort(best, axis=1)
+    bits = np.unpackbits(np.ascontiguousarray(_mixed(best)).astype("<u8").view(np.uint8).reshape(families, -1, 8), axis=2, bitorder="little")
+    votes = np.einsum("r,frb->fb", _VOTES[: best.shape[1]], bits.astype(np.float64) * 2 - 1)
+    return np.packbits(votes > 0, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+
+
+def _prints(batches: Iterator[pa.RecordBatch], width: int, families: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, prints = [], []
+        for x in text_bytes(batch.column(0)):
+            words = x.lower().split()
+            texts.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            prints.append(ranked_fingerprints(np.unique(_shingles(words, width)), families).view(np.int64))
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.binary()), pa.array(prints, pa.list_(pa.int64()))], names=[*batch.schema.names[1:], "words", "fps"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(_hashes(x, width)).astype("<u8").tobytes() for x in text_bytes(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+
+
+def _compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+            low, high = sorted((len(x), len(y)))
+            if low >= similarity * high:
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both):
+                    keep.append(i)
+        at = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["u", "v"])
+
+
+#: Edges that one hub's shingles are sent out for at once.
+FAN = 256
+
+
+def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, families: int = 16, radius: int = 2) -> DataFrame:
+    """Which rows are the first of their group of similar texts.
+
+    Texts of equal words are one text. Two texts are linked if they are candidates, by one
+    of ``families`` fingerprints that differ in ``radius`` bits at most, and their sets of
+    ``width``-word shingles have a Jaccard similarity of ``similarity`` or more; groups are
+    the closure. Candidates are found, not proved: at a similarity of exactly 0.8 a pair is
+    one with a probability of about 0.999, and each member of a bucket is
+    compared with its hub only. No text is compared with more than a few others.
+
+    Returns distinct (key, first): `row_key` of every distinct row, and whether it stays
+    for its group: of the smallest id, null ids last. Null and empty texts are one group.
+    Shorter texts than ``width`` words have their whole sequence as shingle. Empty input,
+    empty result.
+    """
+    keyed = docs.select(F.col(text_col).cast("string").alias("text"), row_key(docs).alias("key"), F.col(id_col).alias("id"))
+    kinds = f"key struct<a:bigint,b:bigint>, id {docs.schema[id_col].dataType.simpleString()}"
+    prints = stored(keyed.mapInArrow(partial(_prints, width=width, families=families), f"{kinds}, words binary, fps array<bigint>"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    texts = stored(prints.groupBy("words").agg(first, F.min("fps").alias("fps")).withColumn("node", F.monotonically_increasing_id()))
+
+    marked = texts.select("node", "fps", F.posexplode("fps").alias("group", "fp"))
+    # each fingerprint draws a hub of its own, so that one text that is like few others misleads one of them only
+    lead = F.min(F.struct(F.xxhash64("group", "node").alias("_"), "node"))["node"].alias("lead")
+    leads = stored(marked.groupBy("group", "fp").agg(lead))
+    same = marked.join(leads, ["group", "fp"]).where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v"))
+    finer = marked.withColumn("next", F.element_at("fps", (F.col("group") + 1) % families + 1))
+    same = same.union(finer.join(finer.groupBy("group", "fp", "next").agg(lead), ["group", "fp", "next"]).where("node <> lead").select("node", "lead"))
+    found = links(leads.select("group", "fp"), radius=radius)
+    ends = [leads.select("group", F.col("fp").alias(c), F.col("lead").alias(f"{c}_lead")) for c in ("u", "v")]
+    near = found.join(ends[0], ["group", "u"]).join(ends[1], ["group", "v"]).select(F.col("u_lead").alias("u"), F.col("v_lead").alias("v"))
+    pairs = stored(same.union(near).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+
+    wanted = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(texts.select("node", F.col("first.key").alias("key")), "node"))
+    bodies = docs.select(row_key(docs).alias("key"), F.col(text_col).cast("string").alias("text")).join(wanted, "key").select("node", "text")
+    sets = stored(bodies.mapInArrow(partial(_sets, width=width), "node bigint, set binary").groupBy("node").agg(F.min("set").alias("set")))
+    busy = stored(pairs.groupBy("v").count().where(F.col("count") > FAN).select("v", F.ceil(F.col("count") / FAN).alias("parts")))
+    salted = pairs.join(busy, "v", "left").select("u", "v", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("u"), F.col("parts"))).otherwise(F.lit(0)).alias("salt"))
+    hubs = sets.join(busy.withColumnRenamed("v", "node"), "node", "left").select(F.col("node").alias("v"), F.col("set").alias("v_set"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("salt"))
+    both = salted.join(hubs, ["v", "salt"]).join(sets.select(F.col("node").alias("u"), F.col("set").alias("u_set")), "u").select("u", "v", "u_set", "v_set")
+    roots = connected(both.mapInArrow(partial(_compared, similarity=similarity), "u bigint, v bigint"))
+
+    placed = texts.select("node", "first").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    heads = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"), F.lit(True).alias("is_first"))
+    return prints.select("key").distinct().join(heads, "key", "left").select("key", F.coalesce("is_first", F.lit(False)).alias("first"))
+
+
+def deduplicate(docs: DataFrame, **how: object) -> DataFrame:
+    """The rows of ``docs`` that `similar` calls first, each once, as they are.
+
+    Texts are sent over the network only where Spark finds the keys of the dropped and
+    of the repeated rows too many to send to all tasks.
+    """
+    found = similar(docs, **how)
+    cells = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")
+    rows = docs.select(row_key(docs).alias("key"), cells)
+    repeated = stored(docs.select(row_key(docs).alias("key")).groupBy("key").count().where("count > 1").select("key"))
+    away = stored(found.where("NOT first").select("key"))
+    plain = rows.join(away.union(repeated), "key", "left_anti").select("row")
+    once = rows.join(repeated.join(away, "key", "left_anti"), "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row")
+    return plain.union(once).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
