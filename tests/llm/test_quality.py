@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import math
+import re
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -37,6 +41,69 @@ def test_low_quality_is_told_apart(spark, sf_dir):
     assert np.mean(good) > 0.995 and np.mean(poor) < 0.1
 
 
+def plain_features(text):
+    """The features by one loop over words and bytes."""
+    kind = lambda b: "a" if 97 <= b <= 122 else "A" if 65 <= b <= 90 else "0" if 48 <= b <= 57 else "e" if b >= 128 else chr(b)
+    space = b" \t\n\v\f\r"
+    own, seen, pairs, previous, letters = {}, {}, set(), None, {"a": 0, "A": 0, "0": 0, "e": 0, "": 0}
+    words = [w for w in re.split(rb"[ \t\n\v\f\r]+", text) if w]
+    for b in text:
+        if b not in space:
+            letters[kind(b) if kind(b) in letters else ""] += 1
+    for w in words:
+        seen[w] = seen.get(w, 0) + 1
+        pairs.add((previous, w))
+        previous = w
+    for w, n in seen.items():
+        at = zlib.crc32(w.lower()) % quality.BUCKETS
+        own[at] = own.get(at, 0) + math.log(1 + n)
+    norm = max(1e-9, math.sqrt(sum(x * x for x in own.values())))
+    own = {k: x / norm for k, x in own.items()}
+    total = max(1, len(words))
+    for w, n in seen.items():
+        shape = "".join(k for i, k in enumerate(map(kind, w)) if not i or k != kind(w[i - 1]))
+        at = zlib.crc32(shape.encode("latin-1"), 77) % quality.BUCKETS
+        own[at] = own.get(at, 0) + 2 * n / total
+    size = sum(letters.values())
+    shares = {"distinct": len(seen) / total, "most": max(seen.values(), default=0) / total, "upper": letters["A"] / max(1, letters["A"] + letters["a"]), "signs": letters[""] / max(1, size), "digits": letters["0"] / max(1, size), "word": min(1.0, size / total / 20), "short": 1 / (1 + math.log(1 + len(words))), "pairs": 1 - (len(pairs) - 1) / (len(words) - 1) if len(words) > 1 else 0.0, "all": 1.0}
+    for name, value in shares.items():
+        for at, x in ((zlib.crc32(name.encode(), 99), 2 * value), (zlib.crc32(f"{name}{int(10 * value)}".encode(), 99), 1.0)):
+            own[at % quality.BUCKETS] = own.get(at % quality.BUCKETS, 0) + x
+    return own
+
+
+def test_query_agrees_with_a_plain_computation(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = {r.doc_id: r for r in queries.op7_quality(spark, sf_dir).collect()}
+    model = quality.train(docs, queries.grades(spark, sf_dir), grades=3, most=4000)
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert rows.keys() == texts.keys()
+    for i, text in texts.items():
+        score = sum(model.weights[k] * x for k, x in plain_features(text).items())
+        p = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        r = rows[i]
+        assert abs(r.expected_grade - sum(p)) < 1e-4 and abs(r.p_acceptable - p[0]) < 1e-4 and abs(r.p_good - p[1]) < 1e-4 and r.p_good <= r.p_acceptable
+        assert r.keep == (r.p_acceptable >= queries.KEEP_FROM)
+
+
+def test_held_out_grades(spark, sf_dir):
+    """Each grade by itself, on ids that training does not see: grade 1, good but toxic, lies between the others."""
+    at = f"{sf_dir}/../sf0.1"
+    docs, ratings = spark.read.parquet(f"{at}/documents.parquet"), queries.grades(spark, at)
+    model = quality.train(docs, ratings.where("doc_id % 5 <> 0"), grades=3, most=4000)
+    rows = quality.grade(docs.join(ratings.where("doc_id % 5 = 0 AND grade IS NOT NULL"), "doc_id").select("grade", "text"), model).collect()
+    right = {g: np.mean([round(r.expected_grade) == g for r in rows if r.grade == g]) for g in (0, 1, 2)}
+    mean = {g: np.mean([r.expected_grade for r in rows if r.grade == g]) for g in (0, 1, 2)}
+    print({g: (sum(r.grade == g for r in rows), float(right[g]), float(mean[g])) for g in right})
+    assert mean[0] < mean[1] < mean[2] and right[0] > 0.9 and right[2] > 0.95
+
+
+def test_repeated_ids_count_once(spark):
+    docs = spark.createDataFrame([(1, f"copy {n} of a text") for n in range(500)] + [(2, "another text")], "doc_id long, text string")
+    rows, known = quality.sample(docs, spark.createDataFrame([(1, 0), (2, 2)], "doc_id long, grade int"), id_col="doc_id", text_col="text", grade_col="grade", most=10)
+    assert sorted(known.tolist()) == [0, 2] and len(rows) == 2
+
+
 def test_edge_cases(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "fine words"), (3, "fine words"), (None, "x" * 500_000), (4, "w " * 300_000)], "doc_id long, text string").withColumn("_grade", F.lit("x"))
     ratings = spark.createDataFrame([(1, 0), (3, 2), (3, 1), (4, 7), (None, 1), (2, None)], "doc_id long, grade int").withColumn("text", F.lit(1))

@@ -68,3 +68,17 @@ def test_edge_cases(spark):
     none = toxicity.toxicity(docs, labels.limit(0)).collect()
     assert len(none) == len(rows) and all(r.predicted == 0 for r in none)
     assert toxicity.toxicity(docs.limit(0), labels).collect() == []
+
+
+def test_repeated_ids_count_once(spark):
+    docs = spark.createDataFrame([(1, f"copy {n} of a text") for n in range(500)] + [(2, None), (2, "x")], "doc_id long, text string")
+    texts, known = toxicity.sample(docs, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int"), id_col="doc_id", text_col="text", label_col="toxic", most=(10, 10))
+    assert sorted(zip(texts, known.tolist(), strict=True)) == [(b"", 1), (b"copy 0 of a text", 0)]
+
+
+def test_query_on_the_table(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.op5_toxicity(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)

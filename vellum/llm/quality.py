@@ -8,6 +8,7 @@ grade and the probability of a grade or better, by which texts are selected.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ BUCKETS = 1 << 16
 #: Shapes of words: letters of either case, digits, other signs and bytes beyond ASCII, runs as one.
 _SHAPE = bytes(ord("a") if chr(b).islower() and b < 128 else ord("A") if chr(b).isupper() and b < 128 else ord("0") if 48 <= b < 58 else ord("e") if b >= 128 else b for b in range(256))
 
+_RUN = re.compile(rb"(.)\1+", re.S)
+
 
 class Features:
     """Hashed features of texts; remembers the buckets of words that it has met, up to a bound."""
@@ -33,12 +36,7 @@ class Features:
         self.seen: dict[bytes, tuple[int, int]] = {}
 
     def _buckets(self, word: bytes) -> tuple[int, int]:
-        shape, last = bytearray(), -1
-        for b in word[:64].translate(_SHAPE):
-            if b != last:
-                shape.append(b)
-                last = b
-        return zlib.crc32(word.lower()) % BUCKETS, zlib.crc32(bytes(shape[:8]), 77) % BUCKETS
+        return zlib.crc32(word.lower()) % BUCKETS, zlib.crc32(_RUN.sub(rb"\1", word.translate(_SHAPE)), 77) % BUCKETS
 
     def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Buckets, each once, and their values; a text without words has only what all texts have."""
@@ -138,10 +136,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, count: in
 
 
 def sample(docs: DataFrame, ratings: DataFrame, *, id_col: str, text_col: str, grade_col: str, most: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Features and grades of at most ``most`` rated rows, those of the least hashed ids; features are computed where the texts are."""
+    """Features and grades of at most ``most`` rated ids, those of the least hashes; features are computed where the texts are.
+
+    An id that several documents have counts once, with the least of its texts.
+    """
     rated = ratings.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_key")).agg(F.max(F.col(grade_col).cast("int")).alias("_grade"))
     wanted = F.broadcast(rated.orderBy(F.xxhash64("_key"), "_key").limit(most))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(wanted, F.col("_id") == F.col("_key"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(wanted, F.col("_id") == F.col("_key")).groupBy("_key", "_grade").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()

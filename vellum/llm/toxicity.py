@@ -343,11 +343,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, most: tuple[int, int]) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of at most ``most`` rows of labels 0 and 1, those of the least hashed ids, held-out rows left out."""
+    """Texts and labels of at most ``most`` ids of labels 0 and 1, those of the least hashes, held-out ids left out.
+
+    An id that several documents have counts once, with the least of its texts.
+    """
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_key")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
     drawn = [rows.where(F.col("_label") == k).orderBy(F.xxhash64("_key"), "_key").limit(n) for k, n in enumerate(most)]
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    found = texts.join(F.broadcast(drawn[0].union(drawn[1])), F.col("_id") == F.col("_key")).select("_key", "_text", "_label").collect()
+    found = texts.join(F.broadcast(drawn[0].union(drawn[1])), F.col("_id") == F.col("_key")).groupBy("_key", "_label").agg(F.min("_text").alias("_text")).select("_key", "_text", "_label").collect()
     found.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), r[1]))
     return [r[1].encode() for r in found], np.array([r[2] for r in found], np.int64)
 
