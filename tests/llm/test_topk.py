@@ -47,3 +47,16 @@ def test_pruning_keeps_what_reaches_the_floor():
     least = np.sort(scores, axis=1)[:, -20].astype(float)
     got = {i: sorted(s.tolist()) for i, _, s in topk.search(np.full(len(q), -1), q, least, np.arange(len(c)), c, 20)}
     assert got == {i: np.sort(scores[i])[-20:].tolist() for i in range(len(q))}
+
+
+def test_pairs_out_of_reach_are_not_made(spark):
+    rng = random.Random(11)
+    rows = [(i, [rng.gauss(0, 1) * math.exp(rng.gauss(0, 1.5)) for _ in range(6)]) for i in range(2000)]
+    rows += [(i, [0.5, 0.25, 0.5, 0.5, 0.5, 0.5]) for i in range(2000, 3000)]  # equal vectors
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    made = topk.pairs(frame, id_col="vec_id", vector_col="embedding", k=10, every=20, scale=64.0, bucket=64, block=8)
+    blocks, buckets = made.select("q_ids").distinct().count(), made.select("ids").distinct().count()
+    assert blocks == 19 and made.count() < 0.6 * blocks * math.ceil(3000 / 64) and buckets > 1
+    assert sorted(map(tuple, topk.top_k(frame, k=10, bucket=64, block=8).collect())) == sorted(brute(rows, 10, 20))
+    hits = made.mapInArrow(topk._hits(10), "query_id bigint, vec_id bigint, score bigint").count()
+    assert hits < 150 * 10 * 8  # not ten from each bucket of equal vectors

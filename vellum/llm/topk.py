@@ -1,10 +1,12 @@
 """Exact top-k by inner product with norm-bucketed retrieval.
 
 Vectors become integer codes. Candidates are dealt to buckets by length, queries to blocks
-of bounded size. A first pass over the bucket of the longest vectors gives every query a
-score that its k-th best cannot fall below. From it and a bucket's greatest length follows
-the least cosine that a member needs: above one the bucket is skipped, a high one lets
-coordinates be pruned, a low one only lengths. Products of what is left are verified.
+of bounded size. A first pass over the bucket of the longest vectors and over that of the
+block's own length gives every query a score that its k-th best cannot fall below. A block
+is paired with no bucket whose greatest length cannot reach any of its queries' scores, and
+only ids travel until that is known. In a pair the score and the bucket's greatest length
+give the least cosine that a member needs: above one the bucket is skipped, a high one
+lets coordinates be pruned, a low one only lengths. Products of what is left are verified.
 """
 
 from __future__ import annotations
@@ -102,11 +104,13 @@ def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
-def search(qids: np.ndarray, q: np.ndarray, least: np.ndarray, cids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def search(qids: np.ndarray, q: np.ndarray, least: np.ndarray, cids: np.ndarray, c: np.ndarray, k: int, last: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query's index, ids, scores) of up to ``k`` best members of a bucket that reach the query's ``least`` score.
 
     ``c`` is by descending length; ``least`` is minus infinity where no score is known.
+    Members of just that score count up to the id ``last``: k others have smaller ones.
     """
+    last = np.full(len(q), np.iinfo(np.int64).max) if last is None else last
     length = np.sqrt((c.astype(np.float64) ** 2).sum(axis=1))
     q_length = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
     unit = None
@@ -133,17 +137,17 @@ def search(qids: np.ndarray, q: np.ndarray, least: np.ndarray, cids: np.ndarray,
             mask &= (unit[:upto, f] >= np.cos(min(np.pi, angle + reach_by)) - 1e-9) & (unit[:upto, f] <= np.cos(max(0.0, angle - reach_by)) + 1e-9)
         at = np.flatnonzero(mask)
         if len(at):
-            yield from _best(i, qids[i], cids[at], _products(q[i : i + 1], c[at])[0], least[i], k)
+            yield from _best(i, qids[i], cids[at], _products(q[i : i + 1], c[at])[0], least[i], k, last[i])
     for start in range(0, len(plain), 64):
         some = plain[start : start + 64]
         upto = max(n for _, n in some)
         scores = _products(q[[i for i, _ in some]], c[:upto])
         for (i, n), row in zip(some, scores, strict=True):
-            yield from _best(i, qids[i], cids[:n], row[:n], least[i], k)
+            yield from _best(i, qids[i], cids[:n], row[:n], least[i], k, last[i])
 
 
-def _best(i: int, own: int, ids: np.ndarray, scores: np.ndarray, least: float, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    keep = (ids != own) & (scores >= least)
+def _best(i: int, own: int, ids: np.ndarray, scores: np.ndarray, least: float, k: int, last: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    keep = (ids != own) & ((scores > least) | (scores == least) & (ids <= last))
     ids, scores = ids[keep], scores[keep]
     if len(ids) > k:
         floor = np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -154,6 +158,73 @@ def _best(i: int, own: int, ids: np.ndarray, scores: np.ndarray, least: float, k
         yield i, ids[order], scores[order]
 
 
+#: What a query knows: the score that its k-th best reaches, the id up to which that score counts, and the query's length.
+KNOWN = np.dtype([("least", "<f8"), ("last", "<i8"), ("length", "<f8")])
+
+
+def _floors(k: int):
+    """Arrow rows (q_no, known) of what each block's queries know from one bucket."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                qids, cids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
+                q, c = _matrix(row["q_kind"], row["q_codes"], len(qids)), _matrix(row["kind"], row["codes"], len(cids))
+                known = np.zeros(len(qids), KNOWN)
+                known["least"], known["last"] = -np.inf, np.iinfo(np.int64).max
+                known["length"] = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
+                for i, ids, scores in search(qids, q, known["least"].copy(), cids, c, k):
+                    if len(scores) == k:
+                        exact = abs(int(scores[-1])) < 1 << 53  # beyond, a score as a float says less
+                        known[i] = (scores[-1] if exact else np.nextafter(float(scores[-1]), -np.inf), ids[-1] if exact else known["last"][i], known["length"][i])
+                yield pa.RecordBatch.from_arrays([pa.array([row["q_no"]], pa.int64()), pa.array([known.tobytes()], pa.binary())], names=["q_no", "known"])
+
+    return scan
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best of what a block knows from several buckets, and the length that a bucket must have to matter to it."""
+    for batch in batches:
+        out, need = [], []
+        for row in batch.column(1).to_pylist():
+            parts = [np.frombuffer(x, KNOWN) for x in row]
+            best = parts[0].copy()
+            for other in parts[1:]:
+                better = (other["least"] > best["least"]) | (other["least"] == best["least"]) & (other["last"] < best["last"])
+                best[better] = other[better]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                reach = np.where(best["least"] > 0, best["least"] / best["length"], -1.0)
+            out.append(best.tobytes())
+            need.append(float(reach.min()) * (1 - 1e-9))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(need, pa.float64())], names=["q_no", "known", "need"])
+
+
+def _hits(k: int):
+    """Arrow rows (query_id, vec_id, score) of one pair of block and bucket each."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                qids, cids, known = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["known"], KNOWN)
+                q, c = _matrix(row["q_kind"], row["q_codes"], len(qids)), _matrix(row["kind"], row["codes"], len(cids))
+                parts = [(np.full(len(s), qids[i]), n, s) for i, n, s in search(qids, q, known["least"], cids, c, k, known["last"])]
+                columns = [np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["query_id", "vec_id", "score"])
+
+    return scan
+
+
+def _ranks(buckets: DataFrame, asked: DataFrame, value: str, *, equal: bool) -> DataFrame:
+    """``asked`` with ``upto``: how many buckets of its dimension are longer than ``value``, or as long.
+
+    One window over a row a bucket and a row a block, so its size is that of neither's vectors.
+    """
+    every = [F.col(c) for c in asked.columns]
+    rows = buckets.select("dim", F.col("longest").alias("_value"), F.lit(1).alias("_one")).unionByName(asked.withColumn("_value", F.col(value)).withColumn("_one", F.lit(0)), allowMissingColumns=True)
+    before = Window.partitionBy("dim").orderBy(F.col("_value").desc(), F.col("_one").desc() if equal else F.col("_one").asc()).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("upto", F.sum("_one").over(before)).where("_one = 0").select(*every, "upto")
+
+
 def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, scale: float = 64.0, bucket: int = 8192, block: int = 512) -> DataFrame:
     """The ``k`` candidates of highest integer inner product for each query.
 
@@ -163,41 +234,33 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     query's id the smallest code is the query; repeated candidates count as rows. Scores
     beyond a long are held at its ends. Other columns are ignored; empty input, empty result.
     """
+    hits = pairs(vectors, id_col=id_col, vector_col=vector_col, k=k, every=every, scale=scale, bucket=bucket, block=block).mapInArrow(_hits(k), "query_id bigint, vec_id bigint, score bigint")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def pairs(vectors: DataFrame, *, id_col: str, vector_col: str, k: int, every: int, scale: float, bucket: int, block: int) -> DataFrame:
+    """The pairs of query block and bucket that `top_k` has to look at, with their codes and what the queries know."""
     codes = durable(quantise(vectors, id_col=id_col, vector_col=vector_col, scale=scale))
     rows = codes.count()
     buckets = durable(_blocks(codes, bucket, max(1, -(-rows // bucket))))
     asked = codes.where(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("dim", "code", "length")).alias("q")).select("id", "q.dim", "q.length", "q.code")
-    asked = durable(_blocks(asked, block, max(1, -(-rows // (every * block)))).select(F.col("no").alias("q_no"), "dim", F.col("kind").alias("q_kind"), F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes")))
-    sides = buckets.select("no", F.col("dim").alias("c_dim"), "longest", "kind", "ids", "codes")
-    first = sides.groupBy("c_dim").agg(F.max(F.struct("longest", F.length("ids").alias("n"), "no")).alias("b")).select("c_dim", F.col("b.no").alias("no"))
-
-    def found(final: bool):
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    qids, cids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
-                    q, c = _matrix(row["q_kind"], row["q_codes"], len(qids)), _matrix(row["kind"], row["codes"], len(cids))
-                    least = np.frombuffer(row["least"], "<f8") if final else np.full(len(qids), -np.inf)
-                    hits = list(search(qids, q, least, cids, c, k))
-                    if final:
-                        each = [np.full(len(s), qids[i]) for i, _, s in hits]
-                        cat = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(cat(each)), pa.array(cat([n for _, n, _ in hits]).astype(np.int64)), pa.array(cat([s for _, _, s in hits]).astype(np.int64))], names=["query_id", "vec_id", "score"])
-                    else:
-                        low = np.full(len(qids), -np.inf)
-                        for i, _, s in hits:
-                            if len(s) == k:
-                                low[i] = s[-1]
-                        yield pa.RecordBatch.from_arrays([pa.array([row["q_no"]], pa.int64()), pa.array([low.astype("<f8").tobytes()], pa.binary())], names=["q_no", "least"])
-
-        return scan
-
-    floors = asked.join(first, F.col("dim") == F.col("c_dim")).drop("c_dim").join(sides.drop("c_dim"), "no").mapInArrow(found(False), "q_no bigint, least binary")
-    known = asked.join(floors, "q_no")
-    pairs = sides.select("no", "c_dim").join(known, F.col("dim") == F.col("c_dim")).select("no", "q_no", "q_kind", "q_ids", "q_codes", "least")
-    hits = pairs.join(sides.drop("c_dim"), "no").mapInArrow(found(True), "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = durable(_blocks(asked, block, max(1, -(-rows // (every * block)))).select(F.col("no").alias("q_no"), "dim", F.col("longest").alias("q_longest"), F.col("kind").alias("q_kind"), F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes")))
+    ranked = durable(buckets.select("no", "dim", "longest").withColumn("rank", F.row_number().over(Window.partitionBy("dim").orderBy(F.col("longest").desc(), "no"))))
+    counts = ranked.groupBy("dim").agg(F.max("rank").alias("all"))
+
+    def with_codes(wanted: DataFrame) -> DataFrame:
+        found = wanted.join(ranked.select("dim", "rank", "no"), ["dim", "rank"]).drop("dim", "rank")
+        return found.join(asked.drop("dim", "q_longest"), "q_no").join(buckets.select("no", "kind", "ids", "codes"), "no")
+
+    # the first bucket, and the first that is no longer than the block: its own, where many vectors are equal that of the smallest ids
+    own = _ranks(ranked, asked.select("q_no", "dim", "q_longest"), "q_longest", equal=False).join(counts, "dim")
+    first = own.select("q_no", "dim", F.explode(F.array_distinct(F.array(F.lit(1).cast("long"), F.least(F.col("upto") + 1, "all").cast("long")))).alias("rank"))
+    known = with_codes(first).mapInArrow(_floors(k), "q_no bigint, known binary").groupBy("q_no").agg(F.collect_list("known").alias("known"))
+    known = durable(known.mapInArrow(_joined, "q_no bigint, known binary, need double"))
+    reached = _ranks(ranked, known.join(asked.select("q_no", "dim"), "q_no").select("q_no", "dim", "need"), "need", equal=True).where("upto > 0")
+    wanted = reached.select("q_no", "dim", F.explode(F.sequence(F.lit(1).cast("long"), "upto")).alias("rank"))
+    return with_codes(wanted).join(known.select("q_no", "known"), "q_no")
 
 
 def oracle(*, k: int = 20, every: int = 20, scale: float = 64.0) -> str:
