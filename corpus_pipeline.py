@@ -54,6 +54,10 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _with(found, docs, {"text": clean, "n_chars": size})
 
 
+#: Takes of one repeated row that one task joins with it.
+CROWD = 10_000
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats, cuts and drops documents so that sources reach their targets.
 
@@ -66,12 +70,15 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     whole = F.size(F.filter("span", lambda n: n == F.col("size")))
     part = F.filter(runs, lambda x: x["span"] < F.col("size"))
     takes = takes.select("key", (F.col("copies") + whole).alias("copies"), part.alias("parts")).where("copies > 0 OR size(parts) > 0")
-    # equal rows share a key; two runs a shard cut four rows at most, so a key has few parts
-    takes = stored(takes.groupBy("key").agg(F.sum("copies").alias("copies"), F.flatten(F.collect_list(F.when(F.size("parts") > 0, F.col("parts")))).alias("parts")))
+    takes = stored(takes)
+    # a row that repeats often is met by its takes in several places
+    busy = stored(takes.groupBy("key").count().where(F.col("count") > CROWD).select("key", F.ceil(F.col("count") / CROWD).alias("places")))
+    takes = takes.withColumn("n", F.monotonically_increasing_id()).join(busy, "key", "left").withColumn("place", F.when(F.col("places") > 1, F.col("n") % F.col("places")).otherwise(F.lit(0)))
+    once = rows.groupBy("key").agg(F.first("row").alias("row"))  # equal rows meet on each task before they are sent
+    once = once.join(busy, "key", "left").select("key", "row", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("places", F.lit(1)) - 1)).alias("place"))
     none = F.struct(F.lit(None).cast("bigint").alias("from"), F.lit(None).cast("bigint").alias("span"))
     pieces = F.concat(F.array_repeat(none, F.col("copies").cast("int")), F.col("parts"))
-    once = rows.groupBy("key").agg(F.first("row").alias("row"))  # equal rows meet on each task before they are sent
-    out = once.join(takes, "key").select("row", F.explode(pieces).alias("piece"))
+    out = once.join(takes, ["key", "place"]).select("row", F.explode(pieces).alias("piece"))
     cut = F.array_join(F.slice(F.regexp_extract_all(_cell(docs, "text"), F.lit(WORD), F.lit(0)), (F.col("piece.from") + 1).cast("int"), F.col("piece.span").cast("int")), " ")
     out = out.select("row", F.when(F.col("piece.from").isNull(), _cell(docs, "text")).otherwise(cut).alias("text"), F.col("piece.from").isNotNull().alias("cut"))
     size = F.when(F.col("cut"), F.length("text")).otherwise(_cell(docs, "n_chars"))

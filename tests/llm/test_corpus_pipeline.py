@@ -10,8 +10,8 @@ from tokenizers import Tokenizer
 
 from tests.llm.test_packing import PATHS, rebuilt
 from tests.llm.test_secrets import brute
-from vellum.llm import quality, secrets
-from vellum.llm.queries import grades
+from vellum.llm import mixing, quality, secrets
+from vellum.llm.queries import MIX, grades
 
 
 def words(text):
@@ -151,5 +151,15 @@ def test_near_duplicates_on_a_larger_table(spark, sf_dir):
     assert len(pairs) >= 40 and found >= 0.9 * len(pairs)
 
 
+def test_mixing_of_a_row_that_repeats(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "CROWD", 50)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
+    hot = spark.createDataFrame([(1, "one text of six words here", "en", "hot", 26)] * 700, docs.schema)
+    out = corpus_pipeline.mixing_stage(spark, docs.union(hot), sf_dir)
+    n = sum(len(words(r.text)) for r in out.where("source = 'hot'").collect())
+    takes = mixing.mix(docs.union(hot), **MIX).where("doc_id = 1 AND size = 6").agg(F.sum("taken")).first()[0]
+    assert n == takes > 0
+
+
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0

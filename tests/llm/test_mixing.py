@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import os
 import re
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from tests.compare import assert_same
+from tests.compare import TABLES, assert_same
 from vellum.llm import mixing, queries
 
 
@@ -15,6 +16,28 @@ def test_matches_the_oracle(spark, sf_dir, sf):
     assert_same(spark, f"{sf_dir}/../{sf}", queries.op9_mixing, queries.oracle_sql()["op9_mixing"])
 
 
+def test_shards_match_the_oracle(spark, sf_dir, tmp_path):
+    how = {**queries.MIX, "shard_rows": 20}
+    mixed = lambda sp, at: mixing.mix(sp.read.parquet(f"{at}/documents.parquet"), **how).select("doc_id", "size", "source_size", "target", "taken")
+    assert_same(spark, f"{sf_dir}/../sf0.01", mixed, mixing.oracle(**how))
+    for name in set(TABLES) - {"documents"}:
+        os.symlink(f"{sf_dir}/{name}.parquet", tmp_path / f"{name}.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    hot = docs.limit(1).crossJoin(spark.range(700)).drop("id")  # a row that repeats, and null ids of many texts
+    docs.union(hot).union(docs.select(F.lit(None).cast("long"), *docs.columns[1:])).write.parquet(f"{tmp_path}/documents.parquet")
+    assert_same(spark, str(tmp_path), mixed, mixing.oracle(**how))
+
+
+def test_repeats_and_null_ids_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 64)
+    docs = spark.createDataFrame([(None, "a", f"text {n}") for n in range(600)] + [(7, "a", "the same text")] * 600, "doc_id long, source string, text string")
+    groups = docs.select(F.col("doc_id").alias("_id"), "source", F.lit(3).cast("long").alias("size"), F.md5("text").alias("_text")).groupBy("_id", "source", "size", "_text").agg(F.count("*").alias("times"))
+    rows = mixing.numbered(groups).collect()
+    assert sorted(r["copy"] for r in rows if r["_id"] == 7) == list(range(600)) and len(rows) == 1200
+    got = mixing.mix(docs, shard_rows=100)
+    assert got.count() == 1200 and got.agg(F.sum("taken")).first()[0] > 0
+
+
 def brute_targets(sizes, weights=(3, 1, 2), budget=1.5, limit=2):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
