@@ -73,12 +73,14 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     takes = stored(takes)
     # a row that repeats often is met by its takes in several places
     busy = stored(takes.groupBy("key").count().where(F.col("count") > CROWD).select("key", F.ceil(F.col("count") / CROWD).alias("places")))
-    takes = takes.withColumn("n", F.monotonically_increasing_id()).join(busy, "key", "left").withColumn("place", F.when(F.col("places") > 1, F.col("n") % F.col("places")).otherwise(F.lit(0)))
+    takes = takes.withColumn("n", F.monotonically_increasing_id()).join(busy, "key", "left")
     once = rows.groupBy("key").agg(F.first("row").alias("row"))  # equal rows meet on each task before they are sent
-    once = once.join(busy, "key", "left").select("key", "row", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("places", F.lit(1)) - 1)).alias("place"))
+    few = once.join(takes.where("places IS NULL").hint("merge"), "key").select("row", "copies", "parts")
+    spread = once.join(busy, "key").withColumn("place", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("places") - 1))).drop("places")
+    many = spread.join(takes.where("places IS NOT NULL").withColumn("place", F.col("n") % F.col("places")), ["key", "place"]).select("row", "copies", "parts")
     none = F.struct(F.lit(None).cast("bigint").alias("from"), F.lit(None).cast("bigint").alias("span"))
     pieces = F.concat(F.array_repeat(none, F.col("copies").cast("int")), F.col("parts"))
-    out = once.join(takes, ["key", "place"]).select("row", F.explode(pieces).alias("piece"))
+    out = few.union(many).select("row", F.explode(pieces).alias("piece"))
     cut = F.array_join(F.slice(F.regexp_extract_all(_cell(docs, "text"), F.lit(WORD), F.lit(0)), (F.col("piece.from") + 1).cast("int"), F.col("piece.span").cast("int")), " ")
     out = out.select("row", F.when(F.col("piece.from").isNull(), _cell(docs, "text")).otherwise(cut).alias("text"), F.col("piece.from").isNotNull().alias("cut"))
     size = F.when(F.col("cut"), F.length("text")).otherwise(_cell(docs, "n_chars"))

@@ -22,7 +22,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import connected, durable, row_key, stored, text_bytes
@@ -112,19 +112,22 @@ def _subtables(radius: int) -> Column:
     return F.element_at(F.array(*each), F.col("t") + 1)
 
 
-def _by_hub(rows: DataFrame, key: Sequence[str], radius: int) -> tuple[DataFrame, DataFrame]:
-    """Edges (group, u, v) of members within the radius of their bucket's hub, its smallest fingerprint, and the members of buckets that hold others."""
-    hubs = rows.groupBy(*key).agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    seen = durable(rows.join(hubs, list(key)).withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("hub")))))
-    near = seen.where((F.col("d") <= radius) & (F.col("fp") != F.col("hub"))).select("group", F.col("fp").alias("u"), F.col("hub").alias("v"))
-    crowded = seen.groupBy(*key).agg(F.max("d").alias("most"), F.count("*").alias("n")).where((F.col("most") > radius) & (F.col("n") > 2))
-    return near, seen.drop("hub", "d").join(crowded.select(*key), list(key), "left_semi")
+def _by_hub(rows: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) of members within the radius of their bucket's hub, its smallest fingerprint, and the members of buckets that hold others."""
+    # fingerprints are distinct and most buckets hold one, so combining first saves nothing: one exchange, and no bucket is larger than its open bits allow
+    whole = Window.partitionBy("bucket")
+    placed = rows.select("*", F.min("fp").over(whole).alias("hub"), F.min_by("node", "fp").over(whole).alias("hub_node"), F.count("*").over(whole).alias("n")).where("n > 1").drop("n")
+    seen = durable(placed.withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("hub")))))
+    near = seen.where((F.col("d") <= radius) & (F.col("fp") != F.col("hub"))).select(F.col("node").alias("u"), F.col("hub_node").alias("v"))
+    crowded = seen.groupBy("bucket").agg(F.max("d").alias("most"), F.count("*").alias("n")).where((F.col("most") > radius) & (F.col("n") > 2))
+    return near, seen.drop("hub", "hub_node", "d").join(crowded.select("bucket"), "bucket", "left_semi")
 
 
 def links(distinct: DataFrame, *, radius: int = 2) -> DataFrame:
     """Edges (u, v) between distinct fingerprints ``fp`` whose closure is that of all pairs within ``radius``.
 
-    Where rows have a ``group``, fingerprints are distinct and linked within each, and edges have it too.
+    Where rows have a ``group`` and a ``node``, fingerprints are distinct and linked within
+    each group, and edges are between nodes.
 
     Each table's bucket has its smallest fingerprint as hub. Members within the radius
     of the hub get an edge to it. If a bucket also holds others, its members are dealt to
@@ -132,29 +135,31 @@ def links(distinct: DataFrame, *, radius: int = 2) -> DataFrame:
     buckets that hold others even then, the exact way is taken for all members: two
     fingerprints at distance d <= 2s share a string at distance s from both, so members are
     dealt to the strings within s = ceil(radius / 2) and each such set, at most as large as
-    a Hamming ball, is a chain. No pairs are emitted.
+    a Hamming ball, is a chain. No pairs are emitted. Buckets are told apart by 64-bit
+    hashes; two that meet in one only make it crowded.
     """
     if "group" not in distinct.columns:
-        return links(distinct.select(F.lit(0).alias("group"), "fp"), radius=radius).select("u", "v")
-    rows = distinct.select("group", "fp", F.explode(_tables(radius)).alias("b")).select("group", "fp", "b.t", "b.key")
-    first, crowded = _by_hub(rows, ["group", "t", "key"], radius)
-    crowded = crowded.select("group", "fp", "t", "key", F.explode(_subtables(radius)).alias("b")).select("group", "fp", "t", "key", "b.s", "b.sub")
-    second, crowded = _by_hub(crowded, ["group", "t", "key", "s", "sub"], radius)
-    members = crowded.select("group", "fp").distinct()
+        return links(distinct.select("fp", F.lit(0).alias("group"), F.col("fp").alias("node")), radius=radius)
+    rows = distinct.select("fp", "node", "group", F.explode(_tables(radius)).alias("b"))
+    rows = rows.select(F.xxhash64("group", "b.t", "b.key").alias("bucket"), "fp", "node", F.col("group").cast("int").alias("group"), F.col("b.t").cast("int").alias("t"))
+    first, crowded = _by_hub(rows, radius)
+    crowded = crowded.select("bucket", "fp", "node", "group", F.explode(_subtables(radius)).alias("b"))
+    second, crowded = _by_hub(crowded.select(F.xxhash64("bucket", "b.s", "b.sub").alias("bucket"), "fp", "node", "group"), radius)
+    members = crowded.select("group", "fp", "node").distinct()
     one = [1 << i if i < 63 else -(1 << 63) for i in range(BITS)]
     ball = F.array(_long(0), *[_long(b) for b in one])
     steps = (radius + 1) // 2
-    spread = members.select("group", "fp", F.col("fp").alias("c"))
+    spread = members.select("group", F.struct("fp", "node").alias("x"), F.col("fp").alias("c"))
     for _ in range(steps):
-        spread = spread.select("group", "fp", F.explode(ball).alias("e"), "c").select("group", "fp", F.col("c").bitwiseXOR(F.col("e")).alias("c"))
+        spread = spread.select("group", "x", F.explode(ball).alias("e"), "c").select("group", "x", F.col("c").bitwiseXOR(F.col("e")).alias("c"))
     if steps > 1:
         spread = spread.distinct()
-    sets = spread.groupBy("group", "c").agg(F.sort_array(F.collect_list("fp")).alias("all")).where(F.size("all") > 1)
+    sets = spread.groupBy("group", "c").agg(F.sort_array(F.collect_list("x")).alias("all")).where(F.size("all") > 1)
     if radius % 2:  # an odd radius lets a ball hold pairs one bit too far
-        pair = F.explode(F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: (y > x) & (F.bit_count(x.bitwiseXOR(y)) <= radius)), lambda y: F.struct(x.alias("u"), y.alias("v"))))))
-        exact = sets.select("group", pair.alias("p")).select("group", "p.u", "p.v")
+        pair = F.explode(F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: (y["fp"] > x["fp"]) & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= radius)), lambda y: F.struct(x["node"].alias("u"), y["node"].alias("v"))))))
+        exact = sets.select(pair.alias("p")).select("p.u", "p.v")
     else:
-        exact = sets.select("group", F.explode(F.slice("all", F.lit(2), F.size("all") - 1)).alias("u"), F.col("all")[0].alias("v"))
+        exact = sets.select(F.explode(F.slice("all", F.lit(2), F.size("all") - 1)["node"]).alias("u"), F.col("all")[0]["node"].alias("v"))
     return first.union(second).union(exact).distinct()
 
 
@@ -169,7 +174,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Other columns are ignored. Empty input, empty result.
     """
     prints = durable(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, carry=carry))
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    # in two steps, so that no task reads a row of a frequent fingerprint from every other
+    distinct = prints.groupBy("fp", (F.spark_partition_id() % 16).alias("part")).agg(F.min("id").alias("least"))
+    distinct = durable(distinct.groupBy("fp").agg(F.min("least").alias("least")))
     roots = connected(links(distinct.select("fp"), radius=radius))
     roots = roots.union(roots.select("root", "root").distinct())
     parts = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
@@ -244,18 +251,18 @@ def _compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
 FAN = 256
 
 
-def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, families: int = 16, radius: int = 2) -> DataFrame:
+def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, families: int = 12, radius: int = 2) -> DataFrame:
     """Which rows are the first of their group of similar texts.
 
     Texts of equal words are one text. Two texts are linked if they are candidates, by one
     of ``families`` fingerprints that differ in ``radius`` bits at most, and their sets of
     ``width``-word shingles have a Jaccard similarity of ``similarity`` or more; groups are
     the closure. Candidates are found, not proved: at a similarity of exactly 0.8 a pair is
-    one with a probability of about 0.999, and each member of a bucket is
+    one with a probability of about 0.99, at 0.9 of nearly one, and each member of a bucket is
     compared with its hub only. No text is compared with more than a few others.
 
     Returns distinct (key, first): `row_key` of every distinct row, and whether it stays
-    for its group: of the smallest id, null ids last. Null and empty texts are one group.
+    for its group: of the smallest id, null ids last; kept in the checkpoint folder. Null and empty texts are one group.
     Shorter texts than ``width`` words have their whole sequence as shingle. Empty input,
     empty result.
     """
@@ -265,20 +272,16 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
     texts = stored(prints.groupBy("words").agg(first, F.min("fps").alias("fps")).withColumn("node", F.monotonically_increasing_id()))
 
-    marked = texts.select("node", "fps", F.posexplode("fps").alias("group", "fp"))
+    marked = texts.select("node", F.posexplode("fps").alias("group", "fp"))
     # each fingerprint draws a hub of its own, so that one text that is like few others misleads one of them only
-    lead = F.min(F.struct(F.xxhash64("group", "node").alias("_"), "node"))["node"].alias("lead")
-    leads = stored(marked.groupBy("group", "fp").agg(lead))
-    same = marked.join(leads, ["group", "fp"]).where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v"))
-    finer = marked.withColumn("next", F.element_at("fps", (F.col("group") + 1) % families + 1))
-    same = same.union(finer.join(finer.groupBy("group", "fp", "next").agg(lead), ["group", "fp", "next"]).where("node <> lead").select("node", "lead"))
-    found = links(leads.select("group", "fp"), radius=radius)
-    ends = [leads.select("group", F.col("fp").alias(c), F.col("lead").alias(f"{c}_lead")) for c in ("u", "v")]
-    near = found.join(ends[0], ["group", "u"]).join(ends[1], ["group", "v"]).select(F.col("u_lead").alias("u"), F.col("v_lead").alias("v"))
+    leads = stored(marked.groupBy("group", "fp").agg(F.min_by("node", F.xxhash64("group", "node")).alias("node"), F.count("*").alias("n")))
+    shared = leads.where("n > 1").select("group", "fp", F.col("node").alias("lead"))
+    same = marked.join(shared, ["group", "fp"]).where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v"))
+    near = links(leads.select("group", "fp", "node"), radius=radius)
     pairs = stored(same.union(near).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
     wanted = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(texts.select("node", F.col("first.key").alias("key")), "node"))
-    bodies = docs.select(row_key(docs).alias("key"), F.col(text_col).cast("string").alias("text")).join(wanted, "key").select("node", "text")
+    bodies = docs.select(row_key(docs).alias("key"), F.col(text_col).cast("string").alias("text")).join(wanted.hint("merge"), "key").select("node", "text")
     sets = stored(bodies.mapInArrow(partial(_sets, width=width), "node bigint, set binary").groupBy("node").agg(F.min("set").alias("set")))
     busy = stored(pairs.groupBy("v").count().where(F.col("count") > FAN).select("v", F.ceil(F.col("count") / FAN).alias("parts")))
     salted = pairs.join(busy, "v", "left").select("u", "v", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("u"), F.col("parts"))).otherwise(F.lit(0)).alias("salt"))
@@ -288,20 +291,12 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     placed = texts.select("node", "first").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     heads = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"), F.lit(True).alias("is_first"))
-    return prints.select("key").distinct().join(heads, "key", "left").select("key", F.coalesce("is_first", F.lit(False)).alias("first"))
+    return stored(prints.select("key").distinct().join(heads, "key", "left").select("key", F.coalesce("is_first", F.lit(False)).alias("first")))
 
 
 def deduplicate(docs: DataFrame, **how: object) -> DataFrame:
-    """The rows of ``docs`` that `similar` calls first, each once, as they are.
-
-    Texts are sent over the network only where Spark finds the keys of the dropped and
-    of the repeated rows too many to send to all tasks.
-    """
-    found = similar(docs, **how)
+    """The rows of ``docs`` that `similar` calls first, each once, as they are. Texts travel once more, equal rows combined before."""
+    first = similar(docs, **how).where("first").select("key")
     cells = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")
-    rows = docs.select(row_key(docs).alias("key"), cells)
-    repeated = stored(docs.select(row_key(docs).alias("key")).groupBy("key").count().where("count > 1").select("key"))
-    away = stored(found.where("NOT first").select("key"))
-    plain = rows.join(away.union(repeated), "key", "left_anti").select("row")
-    once = rows.join(repeated.join(away, "key", "left_anti"), "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row")
-    return plain.union(once).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    once = docs.select(row_key(docs).alias("key"), cells).groupBy("key").agg(F.first("row").alias("row"))
+    return once.join(first.hint("merge"), "key", "left_semi").select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -239,11 +239,19 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def distinguished(codes: DataFrame, k: int) -> DataFrame:
+    """The candidates without those equal vectors that can be nobody's: of equal codes the ``k`` + 1 smallest ids come first for every query, and ``k`` rows of an id suffice."""
+    equal = Window.partitionBy("dim", "code").orderBy("id")
+    kept = codes.withColumn("_at", F.dense_rank().over(equal)).where(F.col("_at") <= k + 1).drop("_at")
+    again = Window.partitionBy("dim", "code", "id").orderBy("length")
+    return kept.withColumn("_at", F.row_number().over(again)).where(F.col("_at") <= k).drop("_at")
+
+
 def pairs(vectors: DataFrame, *, id_col: str, vector_col: str, k: int, every: int, scale: float, bucket: int, block: int) -> DataFrame:
     """The pairs of query block and bucket that `top_k` has to look at, with their codes and what the queries know."""
     codes = durable(quantise(vectors, id_col=id_col, vector_col=vector_col, scale=scale))
     rows = codes.count()
-    buckets = durable(_blocks(codes, bucket, max(1, -(-rows // bucket))))
+    buckets = durable(_blocks(distinguished(codes, k), bucket, max(1, -(-rows // bucket))))
     asked = codes.where(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("dim", "code", "length")).alias("q")).select("id", "q.dim", "q.length", "q.code")
     asked = durable(_blocks(asked, block, max(1, -(-rows // (every * block)))).select(F.col("no").alias("q_no"), "dim", F.col("longest").alias("q_longest"), F.col("kind").alias("q_kind"), F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes")))
     ranked = durable(buckets.select("no", "dim", "longest").withColumn("rank", F.row_number().over(Window.partitionBy("dim").orderBy(F.col("longest").desc(), "no"))))
