@@ -219,17 +219,19 @@ def ranked_fingerprints(hashes: np.ndarray, families: int) -> np.ndarray:
 
 def _prints(batches: Iterator[pa.RecordBatch], width: int, families: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, prints = [], []
+        texts, sizes, prints = [], [], []
         for x in text_bytes(batch.column(0)):
             words = x.lower().split()
+            shingles = np.unique(_shingles(words, width))
             texts.append(xxhash.xxh3_128_digest(b" ".join(words)))
-            prints.append(ranked_fingerprints(np.unique(_shingles(words, width)), families).view(np.int64))
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.binary()), pa.array(prints, pa.list_(pa.int64()))], names=[*batch.schema.names[1:], "words", "fps"])
+            sizes.append(len(shingles))
+            prints.append(ranked_fingerprints(shingles, families).view(np.int64))
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prints, pa.list_(pa.int64()))], names=[*batch.schema.names[1:], "words", "size", "fps"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.unique(_hashes(x, width)).astype("<u8").tobytes() for x in text_bytes(batch.column(1))]
+        sets = [np.unique(_hashes(x, width) >> np.uint64(32)).astype("<u4").tobytes() for x in text_bytes(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
 
 
@@ -237,7 +239,7 @@ def _compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
     for batch in batches:
         keep = []
         for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+            x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
             low, high = sorted((len(x), len(y)))
             if low >= similarity * high:
                 both = len(np.intersect1d(x, y, assume_unique=True))
@@ -256,7 +258,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Texts of equal words are one text. Two texts are linked if they are candidates, by one
     of ``families`` fingerprints that differ in ``radius`` bits at most, and their sets of
-    ``width``-word shingles have a Jaccard similarity of ``similarity`` or more; groups are
+    ``width``-word shingles (as 32-bit hashes) have a Jaccard similarity of ``similarity`` or more; groups are
     the closure. Candidates are found, not proved: at a similarity of exactly 0.8 a pair is
     one with a probability of about 0.99, at 0.9 of nearly one, and each member of a bucket is
     compared with its hub only. No text is compared with more than a few others.
@@ -268,9 +270,9 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     keyed = docs.select(F.col(text_col).cast("string").alias("text"), row_key(docs).alias("key"), F.col(id_col).alias("id"))
     kinds = f"key struct<a:bigint,b:bigint>, id {docs.schema[id_col].dataType.simpleString()}"
-    prints = stored(keyed.mapInArrow(partial(_prints, width=width, families=families), f"{kinds}, words binary, fps array<bigint>"))
+    prints = stored(keyed.mapInArrow(partial(_prints, width=width, families=families), f"{kinds}, words binary, size bigint, fps array<bigint>"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
-    texts = stored(prints.groupBy("words").agg(first, F.min("fps").alias("fps")).withColumn("node", F.monotonically_increasing_id()))
+    texts = stored(prints.groupBy("words").agg(first, F.min("size").alias("size"), F.min("fps").alias("fps")).withColumn("node", F.monotonically_increasing_id()))
 
     marked = texts.select("node", F.posexplode("fps").alias("group", "fp"))
     # each fingerprint draws a hub of its own, so that one text that is like few others misleads one of them only
@@ -278,11 +280,15 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     shared = leads.where("n > 1").select("group", "fp", F.col("node").alias("lead"))
     same = marked.join(shared, ["group", "fp"]).where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v"))
     near = links(leads.select("group", "fp", "node"), radius=radius)
-    pairs = stored(same.union(near).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    pairs = same.union(near).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    # sets whose sizes differ by more than the similarity allows cannot have it
+    u_size, v_size = (texts.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size")) for c in ("u", "v"))
+    pairs = pairs.join(u_size, "u").join(v_size, "v").where(F.least("u_size", "v_size") >= F.greatest("u_size", "v_size") * similarity)
+    pairs = stored(pairs.select("u", "v"))
 
     wanted = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(texts.select("node", F.col("first.key").alias("key")), "node"))
-    bodies = docs.select(row_key(docs).alias("key"), F.col(text_col).cast("string").alias("text")).join(wanted.hint("merge"), "key").select("node", "text")
-    sets = stored(bodies.mapInArrow(partial(_sets, width=width), "node bigint, set binary").groupBy("node").agg(F.min("set").alias("set")))
+    bodies = docs.select(row_key(docs).alias("key"), F.col(text_col).cast("string").alias("text")).join(wanted.hint("merge"), "key").groupBy("key").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text")
+    sets = stored(bodies.mapInArrow(partial(_sets, width=width), "node bigint, set binary"))
     busy = stored(pairs.groupBy("v").count().where(F.col("count") > FAN).select("v", F.ceil(F.col("count") / FAN).alias("parts")))
     salted = pairs.join(busy, "v", "left").select("u", "v", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("u"), F.col("parts"))).otherwise(F.lit(0)).alias("salt"))
     hubs = sets.join(busy.withColumnRenamed("v", "node"), "node", "left").select(F.col("node").alias("v"), F.col("set").alias("v_set"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("salt"))
