@@ -2,6 +2,7 @@
 
 from vellum.plans import (  # noqa: F401
     facts,
+    inventory,
     kinship,
     language,
     pages,

@@ -98,60 +98,62 @@ def merge_entities(spark, sf):
     return E.merge_entities_edges(D.edges(spark, sf), old).select("user_id", "canon_from", "canon_to", "canon_key", "id", "kind", "confidence", "n_sources")
 
 
-# --- paths and trees over a sparse part of the graph ---------------------------------
+# --- paths and trees ------------------------------------------------------------------
 
 
-def _sparse(spark, sf):
-    """Edges of one kind and high confidence: a graph in which paths are short enough to list."""
-    return D.edges(spark, sf).where("relation_kind = 'father' AND confidence >= 0.9 AND source_id % 8 = 0").select("id", F.col("from_id").cast("long").alias("from_id"), F.col("to_id").cast("long").alias("to_id"), "relation_type")
+def _links(spark, sf):
+    return D.edges(spark, sf).select("id", F.col("from_id").cast("long").alias("from_id"), F.col("to_id").cast("long").alias("to_id"), "relation_type")
 
 
-_SPARSE = f"{D.EDGES}, g AS (SELECT id, from_id, to_id, relation_type FROM edges WHERE relation_kind = 'father' AND confidence >= 0.9 AND source_id % 8 = 0)"
+def _subjects(spark, sf):
+    return D.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("subject"))
 
 
-@register("g01_direct_edges", f"WITH {_SPARSE} SELECT from_id, to_id, id, (row_number() OVER (PARTITION BY from_id ORDER BY relation_type NULLS FIRST, id))::INT AS position FROM g WHERE from_id < 20")
+_LINKS = f"{D.EDGES}, g AS (SELECT id, from_id, to_id, relation_type FROM edges)"
+
+
+@register("g01_direct_edges", f"WITH {_LINKS} SELECT from_id, to_id, id, (row_number() OVER (PARTITION BY from_id ORDER BY relation_type NULLS FIRST, id))::INT AS position FROM g")
 def direct_edges(spark, sf):
-    return G.direct_edges(_sparse(spark, sf), spark.range(20).withColumnRenamed("id", "subject")).select("from_id", "to_id", "id", "position")
+    return G.direct_edges(_links(spark, sf), _subjects(spark, sf)).select("from_id", "to_id", "id", "position")
 
 
-_BFS = f"""WITH RECURSIVE {_SPARSE}, e AS (SELECT * FROM g WHERE from_id <> to_id),
-walk AS (SELECT from_id AS subject, to_id AS node, 1 AS depth FROM e WHERE from_id < 20
+_BFS = f"""WITH RECURSIVE {_LINKS}, e AS (SELECT DISTINCT from_id, to_id FROM g WHERE from_id <> to_id),
+walk AS (SELECT from_id AS subject, to_id AS node, 1 AS depth FROM e
   UNION SELECT w.subject, e.to_id, w.depth + 1 FROM walk w JOIN e ON e.from_id = w.node WHERE w.depth < 3),
 near AS (SELECT subject, node, min(depth) AS depth FROM walk WHERE node <> subject GROUP BY ALL)"""
 
 
 @register("g02_paths", f"{_BFS} SELECT subject, node AS target, depth::INT AS depth, depth::INT + 1 AS chain_length FROM near WHERE depth > 1")
 def paths(spark, sf):
-    return G.paths(_sparse(spark, sf), spark.range(20).withColumnRenamed("id", "subject")).select("subject", "target", "depth", F.size("chain").alias("chain_length"))
+    return G.paths(_links(spark, sf), _subjects(spark, sf)).select("subject", "target", "depth", F.size("chain").alias("chain_length"))
 
 
 @register("g03_reachable", f"{_BFS} SELECT subject, node AS target, depth::INT AS depth FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY depth, node) AS r FROM near) WHERE r <= 200")
 def reachable(spark, sf):
-    return G.reachable(_sparse(spark, sf), spark.range(20).withColumnRenamed("id", "subject"))
+    return G.reachable(_links(spark, sf), _subjects(spark, sf))
 
 
 @register("g04_people_mentioned", f"{_BFS} SELECT subject, node AS target, s_name AS name, depth::INT AS depth, (row_number() OVER (PARTITION BY subject ORDER BY s_name, node))::INT AS position FROM near JOIN supplier ON s_suppkey = node")
 def people_mentioned(spark, sf):
     people = D.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return G.people_mentioned(G.reachable(_sparse(spark, sf), spark.range(20).withColumnRenamed("id", "subject")), people)
+    return G.people_mentioned(G.reachable(_links(spark, sf), _subjects(spark, sf)), people)
 
 
 @register("g05_path_labels")
 def path_labels(spark, sf):
     people = D.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    edges = D.edges(spark, sf).select("id", F.col("from_id").cast("long").alias("from_id"), F.col("to_id").cast("long").alias("to_id"), "relation_type")
-    found = G.decorate(G.paths(edges, people.select(F.col("id").cast("long").alias("subject"))), people)
+    found = G.decorate(G.paths(_links(spark, sf), people.select(F.col("id").cast("long").alias("subject"))), people)
     return found.select("subject", "target", G.path_label(F.col("names")).alias("label"))
 
 
 @register(
     "g09_components",
-    """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS u, l_partkey % 100 AS v FROM lineitem WHERE l_linenumber = 1 AND l_discount >= 0.09 AND l_orderkey % 40 = 0),
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS u, l_partkey % 100 AS v FROM lineitem),
 b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT u AS node, u AS spot FROM b UNION SELECT r.node, b.v FROM r JOIN b ON b.u = r.spot)
 SELECT s_suppkey::BIGINT AS node, coalesce(min(spot), s_suppkey)::BIGINT AS component FROM supplier LEFT JOIN r ON r.node = s_suppkey GROUP BY s_suppkey""",
 )
 def components(spark, sf):
-    rows = D.table(spark, sf, "lineitem").where("l_linenumber = 1 AND l_discount >= 0.09 AND l_orderkey % 40 = 0").select(F.col("l_suppkey").alias("from_id"), (F.col("l_partkey") % 100).alias("to_id"))
+    rows = D.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("from_id"), (F.col("l_partkey") % 100).alias("to_id"))
     return G.components(rows, D.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node")))
 
 

@@ -49,19 +49,26 @@ def normalize_words(spark, sf):
     return _tokens(spark, sf).select("word").distinct().select("word", T.normalize_word(F.col("word")).alias("form"))
 
 
-@register("j06_chunks")
+@register(
+    "j06_chunks",
+    r"""WITH RECURSIVE t AS (SELECT doc_id, text, length(text) AS size FROM documents WHERE NOT regexp_full_match(text, '\s*')),
+w AS (SELECT doc_id, 0 AS chunk_index, 0::BIGINT AS start FROM t UNION ALL SELECT doc_id, chunk_index + 1, greatest(stop - 200, start + 1) FROM (SELECT w.*, size, CASE WHEN start + 1200 >= size THEN size
+    WHEN strpos(reverse(substr(text, start + 2, 1199)), ' ') > 0 THEN start + 1200 - strpos(reverse(substr(text, start + 2, 1199)), ' ') ELSE start + 1200 END AS stop FROM w JOIN t USING (doc_id)) WHERE stop < size),
+e AS (SELECT w.*, text, CASE WHEN start + 1200 >= size THEN size WHEN strpos(reverse(substr(text, start + 2, 1199)), ' ') > 0 THEN start + 1200 - strpos(reverse(substr(text, start + 2, 1199)), ' ') ELSE start + 1200 END AS stop FROM w JOIN t USING (doc_id))
+SELECT doc_id, chunk_index, start::INT AS start, stop::INT AS "end", substr(text, start + 1, stop - start) AS text FROM e""",
+)
 def chunks(spark, sf):
     rows = D.table(spark, sf, "documents").select("doc_id", "text", F.posexplode(U.chunks(F.col("text"), 1200, 200)).alias("chunk_index", "c"))
     return rows.select("doc_id", "chunk_index", "c.start", "c.end", F.substring(F.col("text"), F.col("c.start") + 1, F.col("c.end") - F.col("c.start")).alias("text"))
 
 
-@register("j07_neighbor_context", "WITH d AS (SELECT doc_id, lag(text) OVER (ORDER BY doc_id) AS b, lead(text) OVER (ORDER BY doc_id) AS a FROM documents) SELECT doc_id, concat_ws(chr(10), CASE WHEN trim(coalesce(b, '')) <> '' THEN '…' || right(b, 50) END, CASE WHEN trim(coalesce(a, '')) <> '' THEN left(a, 50) || '…' END) AS context FROM d WHERE doc_id < 500")
+@register("j07_neighbor_context", "WITH d AS (SELECT doc_id, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS b, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS a FROM documents) SELECT doc_id, concat_ws(chr(10), CASE WHEN trim(coalesce(b, '')) <> '' THEN '…' || right(b, 50) END, CASE WHEN trim(coalesce(a, '')) <> '' THEN left(a, 50) || '…' END) AS context FROM d")
 def neighbor_context(spark, sf):
     from pyspark.sql import Window
 
-    w = Window.partitionBy(F.lit(0)).orderBy("doc_id")
+    w = Window.partitionBy("source").orderBy("doc_id")
     rows = D.table(spark, sf, "documents").select("doc_id", F.lag("text").over(w).alias("b"), F.lead("text").over(w).alias("a"))
-    return rows.where("doc_id < 500").select("doc_id", T.neighbor_context(F.col("b"), F.col("a"), 50).alias("context"))
+    return rows.select("doc_id", T.neighbor_context(F.col("b"), F.col("a"), 50).alias("context"))
 
 
 @register("h01_locate_quote", "SELECT item_id, 10 AS start, 10 + length(substr(text, 11, 30)) AS stop FROM benchmark WHERE length(text) > 60 AND strpos(text, substr(text, 11, 30)) = 11")

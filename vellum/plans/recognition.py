@@ -13,14 +13,15 @@ from vellum.plans import tables as D
 
 
 def _pairs(spark, sf):
-    """Pairs of texts of one source and language: the first 40 characters of each document and the next; ASCII ones only."""
-    w = Window.partitionBy("source", "lang").orderBy("doc_id")
-    rows = D.table(spark, sf, "documents").select("doc_id", "source", "lang", F.substring("text", 1, 40).alias("reference"), F.lead(F.substring("text", 1, 40)).over(w).alias("hypothesis"))
-    return rows.where("hypothesis IS NOT NULL").where(F.col("reference").rlike(r"^[\x00-\x7F]*$") & F.col("hypothesis").rlike(r"^[\x00-\x7F]*$"))
+    """Pairs of short lines: the description of each part and that of the next of its brand."""
+    line = F.concat_ws(" ", "p_name", "p_brand", "p_type")
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    rows = D.table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("source"), line.alias("reference"), F.lead(line).over(w).alias("hypothesis"))
+    return rows.where("hypothesis IS NOT NULL")
 
 
-_PAIRS = r"""p AS (SELECT * FROM (SELECT doc_id, source, lang, substr(text, 1, 40) AS reference, lead(substr(text, 1, 40)) OVER (PARTITION BY source, lang ORDER BY doc_id) AS hypothesis FROM documents)
-WHERE hypothesis IS NOT NULL AND regexp_full_match(reference, '[\x00-\x7F]*') AND regexp_full_match(hypothesis, '[\x00-\x7F]*'))"""
+_PAIRS = """p AS (SELECT * FROM (SELECT p_partkey AS doc_id, p_brand AS source, concat_ws(' ', p_name, p_brand, p_type) AS reference,
+  lead(concat_ws(' ', p_name, p_brand, p_type)) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS hypothesis FROM part) WHERE hypothesis IS NOT NULL)"""
 
 
 def _whole(spark, sf):
@@ -163,14 +164,9 @@ def _baselines(spark, sf):
     return D.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page_id"), (F.col("l_partkey") * 10000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("line_id"), line.alias("baseline"), F.lit(20.0).alias("height")).groupBy("page_id", "line_id", "height").agg(F.min("baseline").alias("baseline"))
 
 
-def _first_baselines(spark, sf):
-    """Baselines of the pages that the SQL of a query names."""
-    return _baselines(spark, sf).where("page_id < 3000")
-
-
-@register("p01_boxes", "SELECT DISTINCT l_orderkey AS page_id, l_partkey * 10000 + l_suppkey * 10 + l_linenumber AS line_id, (l_partkey % 500)::DOUBLE AS x0, (l_partkey % 500 + 60 + l_quantity)::DOUBLE AS x1 FROM lineitem WHERE l_orderkey < 3000 QUALIFY row_number() OVER (PARTITION BY page_id, line_id ORDER BY x1) = 1")
+@register("p01_boxes", "SELECT DISTINCT l_orderkey AS page_id, l_partkey * 10000 + l_suppkey * 10 + l_linenumber AS line_id, (l_partkey % 500)::DOUBLE AS x0, (l_partkey % 500 + 60 + l_quantity)::DOUBLE AS x1 FROM lineitem QUALIFY row_number() OVER (PARTITION BY page_id, line_id ORDER BY x1) = 1")
 def boxes(spark, sf):
-    rows = _first_baselines(spark, sf).select("page_id", "line_id", layout.bbox(F.col("baseline")).alias("b"))
+    rows = _baselines(spark, sf).select("page_id", "line_id", layout.bbox(F.col("baseline")).alias("b"))
     return rows.select("page_id", "line_id", "b.x0", "b.x1")
 
 
@@ -185,13 +181,13 @@ def groups(spark, sf):
     return layout.collinear_groups(rows, layout.pitch(rows))
 
 
-@register("p06_reading_order", "WITH b AS (SELECT DISTINCT ON (l_orderkey, line_id) l_orderkey AS page_id, l_partkey * 10000 + l_suppkey * 10 + l_linenumber AS line_id, l_linenumber * 40 + l_suppkey % 3 AS y, l_partkey % 500 AS x FROM lineitem WHERE l_orderkey < 3000) SELECT page_id, line_id, (row_number() OVER (PARTITION BY page_id ORDER BY y, x, line_id) - 1)::INT AS order_index FROM b")
+@register("p06_reading_order", "WITH b AS (SELECT DISTINCT ON (l_orderkey, line_id) l_orderkey AS page_id, l_partkey * 10000 + l_suppkey * 10 + l_linenumber AS line_id, l_linenumber * 40 + l_suppkey % 3 AS y, l_partkey % 500 AS x FROM lineitem) SELECT page_id, line_id, (row_number() OVER (PARTITION BY page_id ORDER BY y, x, line_id) - 1)::INT AS order_index FROM b")
 def order(spark, sf):
-    return layout.reading_order(_first_baselines(spark, sf)).select("page_id", "line_id", "order_index")
+    return layout.reading_order(_baselines(spark, sf)).select("page_id", "line_id", "order_index")
 
 
-@register("p05_bands", "WITH l AS (SELECT DISTINCT ON (l_orderkey, line_id) l_orderkey AS page_id, l_partkey * 10000 + l_suppkey * 10 + l_linenumber AS line_id, l_linenumber * 40 + l_suppkey % 3 AS y FROM lineitem WHERE l_orderkey < 3000), o AS (SELECT page_id, line_id, b AS band, least(b * 40 + 15, y + 5) - greatest(b * 40 - 15, y - 15) AS overlap FROM l, generate_series(1, 7) g(b)) SELECT page_id, line_id, band::INT AS band FROM o WHERE overlap > 0")
+@register("p05_bands", "WITH l AS (SELECT DISTINCT ON (l_orderkey, line_id) l_orderkey AS page_id, l_partkey * 10000 + l_suppkey * 10 + l_linenumber AS line_id, l_linenumber * 40 + l_suppkey % 3 AS y FROM lineitem), o AS (SELECT page_id, line_id, b AS band, least(b * 40 + 15, y + 5) - greatest(b * 40 - 15, y - 15) AS overlap FROM l, generate_series(1, 7) g(b)) SELECT page_id, line_id, band::INT AS band FROM o WHERE overlap > 0")
 def bands(spark, sf):
-    rows = _first_baselines(spark, sf).select("page_id", "line_id", F.get(F.get("baseline", F.lit(0)), F.lit(1)).alias("y")).select("page_id", "line_id", (F.col("y") - 15).alias("top"), (F.col("y") + 5).alias("bottom"))
+    rows = _baselines(spark, sf).select("page_id", "line_id", F.get(F.get("baseline", F.lit(0)), F.lit(1)).alias("y")).select("page_id", "line_id", (F.col("y") - 15).alias("top"), (F.col("y") + 5).alias("bottom"))
     known = rows.select("page_id").distinct().select("page_id", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("band")).select("page_id", "band", (F.col("band") * 40 - 15).cast("double").alias("top"), (F.col("band") * 40 + 15).cast("double").alias("bottom"))
     return layout.bands_of(rows, known).select("page_id", "line_id", "band")

@@ -83,11 +83,11 @@ def stale(spark, sf):
 
 @register(
     "c20_evidence_report",
-    f"""WITH {D.EDGES}, r AS (SELECT from_id, to_id, min(id) AS id, min(relation_kind) AS relation_kind FROM edges WHERE from_id < 10 GROUP BY 1, 2)
+    f"""WITH {D.EDGES}, r AS (SELECT from_id, to_id, min(id) AS id, min(relation_kind) AS relation_kind FROM edges GROUP BY 1, 2)
 SELECT r.id, a.s_name AS from_name, r.relation_kind, b.s_name AS to_name, e.source_id FROM r JOIN supplier a ON a.s_suppkey = from_id JOIN supplier b ON b.s_suppkey = to_id LEFT JOIN edges e ON e.from_id = r.from_id AND e.to_id = r.to_id AND e.source_id % 2 = 0""",
 )
 def evidence_report(spark, sf):
-    rows = D.edges(spark, sf).where("from_id < 10")
+    rows = D.edges(spark, sf)
     heads = rows.groupBy("from_id", "to_id").agg(F.min("id").alias("id"), F.min("relation_kind").alias("relation_kind"))
     said = rows.where("source_id % 2 = 0").join(heads.select("from_id", "to_id", F.col("id").alias("relation_id")), ["from_id", "to_id"]).select("relation_id", "source_id", "confidence")
     sources = rows.select(F.col("source_id").alias("id"), F.lit("t").alias("title")).distinct()
@@ -113,10 +113,10 @@ def page_union(spark, sf):
     return R.page_union(a, b).select("id", "kind")
 
 
-@register("c05_page_lines", f"WITH {D.LINES} SELECT d.doc_id AS page_id, order_index::INT AS order_index FROM documents d LEFT JOIN lines l ON l.page_id = d.doc_id AND l.text <> '' AND l.order_index < 2")
+@register("c05_page_lines", f"WITH {D.LINES} SELECT d.doc_id AS page_id, order_index::INT AS order_index FROM documents d LEFT JOIN lines l ON l.page_id = d.doc_id AND l.text <> ''")
 def page_lines(spark, sf):
     pages = D.table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"))
-    return R.page_lines(pages, D.lines(spark, sf).where("text <> '' AND order_index < 2")).select("page_id", "order_index")
+    return R.page_lines(pages, D.lines(spark, sf).where("text <> ''")).select("page_id", "order_index")
 
 
 @register(
@@ -253,9 +253,9 @@ def variants(spark, sf):
     return D.table(spark, sf, "supplier").select("s_suppkey", F.array_join(T.word_variants(w), "|").alias("forms"))
 
 
-@register("j13_unicode_forms", "SELECT doc_id, nfc_normalize(text) AS text FROM documents WHERE n_chars < 3000")
+@register("j13_unicode_forms", "SELECT doc_id, nfc_normalize(text) AS text FROM documents")
 def unicode_forms(spark, sf):
-    return D.table(spark, sf, "documents").where("n_chars < 3000").select("doc_id", U.nfc(U.nfd(F.col("text"))).alias("text"))
+    return D.table(spark, sf, "documents").select("doc_id", U.nfc(U.nfd(F.col("text"))).alias("text"))
 
 
 @register("j14_confusions", "SELECT s_suppkey, (['аб|об|ав', 'дом|том|дам', 'x'])[s_suppkey % 3 + 1] AS forms FROM supplier")
@@ -340,17 +340,20 @@ def author_terms(spark, sf):
 
 def _lines(spark, sf):
     x, y = F.col("l_partkey") % 500, F.col("l_linenumber") * 40
-    return D.table(spark, sf, "lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_partkey", F.array(F.array(x.cast("double"), y.cast("double")), F.array((x + 60).cast("double"), y.cast("double"))).alias("a"), F.array(F.array((x + 70).cast("double"), (y + F.col("l_suppkey") % 3 * 4).cast("double")), F.array((x + 130).cast("double"), (y + F.col("l_suppkey") % 3 * 4).cast("double"))).alias("b"))
+    return D.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", F.array(F.array(x.cast("double"), y.cast("double")), F.array((x + 60).cast("double"), y.cast("double"))).alias("a"), F.array(F.array((x + 70).cast("double"), (y + F.col("l_suppkey") % 3 * 4).cast("double")), F.array((x + 130).cast("double"), (y + F.col("l_suppkey") % 3 * 4).cast("double"))).alias("b"))
 
 
-@register("p03_continuation", "SELECT l_orderkey, l_partkey, (2 * (l_suppkey % 3 * 4) + 10) / 40.0 AS cost FROM lineitem WHERE l_orderkey < 2000")
+@register("p03_continuation", "SELECT l_orderkey, l_partkey, (2 * (l_suppkey % 3 * 4) + 10) / 40.0 AS cost FROM lineitem")
 def continuation(spark, sf):
     return _lines(spark, sf).select("l_orderkey", "l_partkey", layout.continuation_cost(F.col("a"), F.col("b"), F.lit(40.0)).alias("cost"))
 
 
-@register("p07_overlap_share", "SELECT l_orderkey, l_partkey, 0.0::DOUBLE AS apart, 1.0::DOUBLE AS same, true AS stacked FROM lineitem WHERE l_orderkey < 2000")
+@register("p07_overlap_share", "SELECT l_orderkey, l_partkey, greatest(0, 60 - l_suppkey % 8 * 10) / 60.0 AS apart, 1.0::DOUBLE AS same, true AS stacked FROM lineitem")
 def overlap_share(spark, sf):
-    return _lines(spark, sf).select("l_orderkey", "l_partkey", layout.overlap_share(F.col("a"), F.col("b")).alias("apart"), layout.overlap_share(F.col("a"), F.col("a")).alias("same"), layout.stacked(F.col("a"), F.col("a"), F.lit(20.0)).alias("stacked"))
+    x, shift = F.col("l_partkey") % 500, F.col("l_suppkey") % 8 * 10
+    level = lambda at: F.array(F.array(at.cast("double"), F.lit(0.0)), F.array((at + 60).cast("double"), F.lit(0.0)))
+    rows = D.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", level(x).alias("a"), level(x + shift).alias("b"))
+    return rows.select("l_orderkey", "l_partkey", layout.overlap_share(F.col("a"), F.col("b")).alias("apart"), layout.overlap_share(F.col("a"), F.col("a")).alias("same"), layout.stacked(F.col("a"), F.col("a"), F.lit(20.0)).alias("stacked"))
 
 
 @register("p08_row_bands", "WITH r AS (SELECT DISTINCT l_orderkey AS page_id, l_linenumber AS y FROM lineitem), g AS (SELECT page_id, y, y - row_number() OVER (PARTITION BY page_id ORDER BY y) AS run FROM r), b AS (SELECT page_id, min(y) AS top, max(y) + 1 AS bottom, count(*) AS n FROM g GROUP BY page_id, run) SELECT page_id, top::INT AS top, bottom::INT AS bottom FROM b WHERE n >= 3")
