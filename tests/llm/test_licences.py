@@ -43,3 +43,14 @@ def test_edge_cases(spark):
     got = sorted((r.doc_id or 0, r.licences, len(r.matches)) for r in licences.scan(docs).collect())
     assert got == [(0, [], 0), (1, [], 0), (2, [], 0), (3, ["CC-BY-4.0"], 1), (3, ["MIT"], 50_000)]
     assert licences.scan(docs.limit(0)).collect() == []
+
+
+def test_every_rule_is_found_in_its_own_sentences():
+    scanner = licences.Scanner()
+    for number, rule in enumerate(licences.RULES):
+        text = "Words before. " + " ".join(f"{licences.SENTENCES[i]}." for i in rule.ids) + "\nwords after, which go on"
+        found = scanner.licences(text)
+        assert [(b, c) for _, b, c in found] == [(rule.licence, number)], rule
+        wrapped = text.replace(" of ", " of\n")
+        assert [b for _, b, _ in scanner.licences(wrapped)] == [rule.licence]
+    assert scanner.licences("This program is free software, mostly. " + "x, " * 300_000) == []

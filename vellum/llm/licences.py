@@ -45,6 +45,20 @@ SENTENCES = {
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "bsd-line": "Licensed under the BSD 3-Clause License",
+    "bsd-2-line": "Licensed under the BSD 2-Clause License",
+    "gpl-2-only-program": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "lgpl-2.1-library": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl-3-program": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl-3-program": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "mpl-2.0-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "epl-2.0-terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-liable": "In no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "unlicense-domain": "This is free and unencumbered software released into the public domain",
+    "cc-by-sa-4.0-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-nd-4.0-work": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
 }
 
 
@@ -80,6 +94,18 @@ RULES = (
     Rule("CC-BY-SA-4.0", ("cc-by-sa-4.0-line",)),
     Rule("CC0-1.0", ("cc0-1.0-line",)),
     Rule("BSD-3-Clause", ("bsd-line",)),
+    Rule("BSD-2-Clause", ("bsd-2-line",)),
+    Rule("GPL-2.0-only", ("gpl-2-only-program",)),
+    Rule("LGPL-2.1-or-later", ("lgpl-2.1-library",)),
+    Rule("LGPL-3.0-or-later", ("lgpl-3-program",)),
+    Rule("AGPL-3.0-or-later", ("agpl-3-program",)),
+    Rule("MPL-2.0", ("mpl-2.0-form",)),
+    Rule("EPL-2.0", ("epl-2.0-terms",)),
+    Rule("ISC", ("isc-grant",)),
+    Rule("Zlib", ("zlib-as-is", "zlib-liable", "zlib-grant")),
+    Rule("Unlicense", ("unlicense-domain",)),
+    Rule("CC-BY-SA-4.0", ("cc-by-sa-4.0-work",)),
+    Rule("CC-BY-ND-4.0", ("cc-by-nd-4.0-work",)),
 )
 
 #: A fragment ends at a sentence's mark before white space and at every line's end.
@@ -120,8 +146,7 @@ class Scanner:
         low = text.lower()
         if not any(h in low for h in self.hints):
             return []
-        cap = 4 * self.longest + 64  # longer ones normalise to no known sentence unless mostly signs
-        parts = [normalise(f) if len(f) <= cap else normalise(f)[: self.longest + 1] for f in BREAK.split(text)]
+        parts = [normalise(f) for f in BREAK.split(text)]
         found, i = [], 0
         while i < len(parts):
             whole, j, best = parts[i], i, None
@@ -169,8 +194,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sen
     """Licences of every text.
 
     One row per input row: ``id_col``, matches (array of sentence, licence, rule in order of
-    the text), licences (distinct, sorted) and identifiers (known sentences). Null and
-    empty texts have none. Ids may be null or repeat; other columns are ignored; empty
+    the text) and licences (distinct, sorted). Null and empty texts have none. Ids may be null or repeat; other columns are ignored; empty
     input, empty result. Texts are read whole.
     """
     kind = docs.schema[id_col].dataType.simpleString()

@@ -210,7 +210,7 @@ def pack(docs: DataFrame, *, tokenizer_path: str, ranks_path: str | None = None,
         for batch in batches:
             arrow = batch.column(0).type
             for name, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                packer.add(name, encode(text.decode(), tokenizer_path, ranks_path, pattern))
+                packer.add(name, encode(text.decode("utf-8", "replace"), tokenizer_path, ranks_path, pattern))
                 if packer.held >= BLOCK:
                     yield from batches_of(packer.close(last=False))
         yield from batches_of(packer.close(last=True))
