@@ -90,10 +90,10 @@ def filtered_search(spark, sf):
     return search.top_k(seen, rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), 4)
 
 
-@register("c15_decorated_chains", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, a.s_name || ' > ' || coalesce(b.s_name, '?') AS names FROM lineitem JOIN supplier a ON a.s_suppkey = l_suppkey LEFT JOIN supplier b ON b.s_suppkey = l_partkey % 1200")
+@register("c15_decorated_chains", "SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, a.s_name || ' > ' || coalesce(b.s_name, '?') AS names FROM lineitem JOIN supplier a ON a.s_suppkey = l_suppkey LEFT JOIN supplier b ON b.s_suppkey = l_partkey % 1200")
 def decorated_chains(spark, sf):
     people = D.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    rows = D.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array(F.col("l_suppkey").cast("long"), (F.col("l_partkey") % 1200).cast("long")).alias("chain"))
+    rows = D.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array(F.col("l_suppkey").cast("long"), (F.col("l_partkey") % 1200).cast("long")).alias("chain")).distinct()
     rows = rows.withColumn("subject", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).withColumn("target", F.lit(0).cast("long"))
     return G.decorate(rows, people).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join(F.transform("names", lambda n: F.coalesce(n, F.lit("?"))), " > ").alias("names"))
 
