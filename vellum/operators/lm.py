@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.functions.arrays import let
+from vellum.operators.components import durable
+
 BACKOFF, FLOOR = 0.4, -12.0
 
 
@@ -37,9 +40,14 @@ def model(counts: DataFrame, min_count: int = 3) -> DataFrame:
 
 def positions(texts: DataFrame, order: int, *, key: str = "id", text: str = "text") -> DataFrame:
     """Characters of texts with their longest context: key, position, context, next."""
-    size = F.length(F.col(text))
-    at = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(F.substring(F.col(text), F.greatest(i - order + 1, F.lit(1)), i - F.greatest(i - order + 1, F.lit(1))).alias("context"), F.substring(F.col(text), i, F.lit(1)).alias("next")))
-    rows = texts.where(size > 0).select(key, F.posexplode(at).alias("position", "c"))
+    # letters as an array: a substring of a long text would walk to its place each time
+    letters = F.regexp_extract_all(F.col(text), F.lit("(?s)."), F.lit(0))
+
+    def places(c: Column) -> Column:
+        first = lambda i: F.greatest(i - order + 1, F.lit(1))
+        return F.transform(F.sequence(F.lit(1), F.size(c)), lambda i: F.struct(F.array_join(F.slice(c, first(i), i - first(i)), "").alias("context"), F.get(c, i - 1).alias("next")))
+
+    rows = texts.where(F.length(F.col(text)) > 0).select(key, F.posexplode(let(letters, places)).alias("position", "c"))
     return rows.select(key, "position", "c.context", "c.next")
 
 
@@ -58,8 +66,14 @@ def logprobs(places: DataFrame, table: DataFrame, order: int, *, key: str = "id"
 
 
 def text_logprobs(texts: DataFrame, table: DataFrame, order: int, *, key: str = "id", text: str = "text") -> DataFrame:
-    """log10 probability of each text; an empty one has 0."""
-    summed = logprobs(positions(texts, order, key=key, text=text), table, order, key=key).groupBy(key).agg(F.sum("logprob").alias("logprob"))
+    """log10 probability of each text; an empty one has 0.
+
+    A text's equal places are counted before they travel, and each distinct place is scored once.
+    """
+    counted = durable(positions(texts, order, key=key, text=text).groupBy(key, F.struct("context", "next").alias("gram")).agg(F.count("*").alias("times")))
+    grams = counted.select("gram").distinct().select("gram", F.lit(0).alias("position"), "gram.context", "gram.next")
+    scores = logprobs(grams, table, order, key="gram").select("gram", "logprob")
+    summed = counted.join(scores, "gram").groupBy(key).agg(F.sum(F.col("times") * F.col("logprob")).alias("logprob"))
     return texts.select(key).distinct().join(summed, key, "left").select(key, F.coalesce("logprob", F.lit(0.0)).alias("logprob"))
 
 
