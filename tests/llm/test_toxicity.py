@@ -37,18 +37,18 @@ def test_gradients_match_differences():
 
 
 def test_windows_cover_the_text():
-    for stride in (8, 24):
+    for stride in (8, 16, 24):
         for n in range(0, 200):
             starts = toxicity.window_starts(n, 32, stride)
             assert set().union(*(range(s, min(n, s + 32)) for s in starts)) == set(range(n))
             assert all(b - a <= stride for a, b in zip(starts, starts[1:], strict=False))
 
 
-def test_a_passage_of_25_words_is_whole_in_a_window():
+def test_a_passage_of_17_words_is_whole_in_a_window():
     model = toxicity.fit([b"one bad word", b"all fine"] * 4, np.array([1, 0] * 4), rounds=1, negatives=4)
-    for n in range(25, 200):
+    for n in range(17, 200):
         starts = toxicity.window_starts(n, model.width, model.stride)
-        assert all(any(s <= at and at + 25 <= s + model.width for s in starts) for at in range(n - 24))
+        assert all(any(s <= at and at + 17 <= s + model.width for s in starts) for at in range(n - 16))
 
 
 def test_held_out_quality(spark, sf_dir):

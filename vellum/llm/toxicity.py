@@ -154,7 +154,7 @@ def _vocabulary(docs: list[list[bytes]], labels: np.ndarray, most: int) -> tuple
     return {w: i + 1 for i, w in enumerate(order)}, np.array([0.0] + [odds[w] for w in order], F32), odds
 
 
-def fit(texts: list[bytes], labels: np.ndarray, *, hidden: int = 10, word_dim: int = 8, char_dim: int = 12, width: int = 32, stride: int = 8, vocabulary: int = 20_000, rounds: int = 10, negatives: int = 6_000, batch: int = 256, rate: float = 0.01, drop: float = 0.2, seed: int = 42) -> Model:
+def fit(texts: list[bytes], labels: np.ndarray, *, hidden: int = 10, word_dim: int = 8, char_dim: int = 12, width: int = 32, stride: int = 16, vocabulary: int = 20_000, rounds: int = 10, negatives: int = 6_000, batch: int = 256, rate: float = 0.01, drop: float = 0.2, seed: int = 42) -> Model:
     """Trains on texts with labels 0 and 1; equal input gives an equal model.
 
     ``drop`` is the share of known words that training reads as unknown ones.
