@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,11 +70,71 @@ def logprobs(places: DataFrame, table: DataFrame, order: int, *, key: str = "id"
     return scored.groupBy(key, "position").agg(F.coalesce(best, F.lit(floor)).alias("logprob"))
 
 
+#: Rows of a model that the driver and every task may hold.
+HELD = 500_000
+
+
+class _Tries:
+    """A model's rows as arrays: what is known of n - 1 letters, by the next letter, leads to what is known of n."""
+
+    def __init__(self, rows: pd.DataFrame, order: int) -> None:
+        rows = rows[(rows.n <= order) & rows.next.notna() & rows.logprob.notna()]
+        keyed = {c + x: p for c, x, p in zip(rows.context, rows.next, rows.logprob, strict=True)}
+        self.letters = np.array(sorted({ord(x) for gram in keyed for x in gram}), np.uint32)
+        heads = {gram[:k] for gram in keyed for k in range(1, len(gram) + 1)}
+        self.places, self.scores = [], []
+        before = {"": 0}
+        for n in range(1, order + 1):
+            grams = sorted(g for g in heads if len(g) == n)
+            code = np.array([before[g[:-1]] * len(self.letters) + np.searchsorted(self.letters, ord(g[-1])) for g in grams], np.int64)
+            rank = np.argsort(code)
+            self.places.append(code[rank])
+            self.scores.append(np.array([keyed.get(grams[k], np.nan) for k in rank]))
+            before = {grams[k]: i for i, k in enumerate(rank)}
+
+    def score(self, text: str, backoff: float, floor: float) -> float:
+        """Sum over the letters of `logprobs`."""
+        if not text:
+            return 0.0
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        if not len(self.letters):
+            return floor * len(codes)
+        letter = np.searchsorted(self.letters, codes).clip(max=len(self.letters) - 1)
+        letter = np.where(self.letters[letter] == codes, letter, -1)
+        size, order = len(letter), len(self.places)
+        longest = np.minimum(np.arange(size), order - 1)
+        out = np.full(size, np.nan)
+        known = np.zeros(size, np.int64)  # the entry of the n - 1 letters that begin at each place, -1 if none
+        for n in range(1, min(order, size) + 1):
+            known, last = known[: size - n + 1], letter[n - 1 :]
+            code = np.where((known >= 0) & (last >= 0), known * len(self.letters) + last, -1)
+            places = self.places[n - 1]
+            if not len(places):
+                break
+            spot = np.searchsorted(places, code).clip(max=len(places) - 1)
+            known = np.where(places[spot] == code, spot, -1)
+            found = np.where(known >= 0, self.scores[n - 1][spot], np.nan) + (longest[n - 1 :] - n + 1) * np.log10(backoff)
+            out[n - 1 :] = np.where(np.isnan(found), out[n - 1 :], found)
+        return float(np.where(np.isnan(out), floor, out).sum())
+
+
 def text_logprobs(texts: DataFrame, table: DataFrame, order: int, *, key: str = "id", text: str = "text") -> DataFrame:
     """log10 probability of each text; an empty one has 0.
 
-    A text's equal places are counted before they travel, and each distinct place is scored once.
+    A model of at most ``HELD`` rows goes to the texts, which then need no shuffle of their
+    letters. Of a larger one a text's equal places are counted before they travel, and each
+    distinct place is scored once.
     """
+    if (held := table.limit(HELD + 1).toPandas()).shape[0] <= HELD:
+        tries, kind = _Tries(held, order), texts.schema[key].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                scores = [tries.score(x.as_py() or "", BACKOFF, FLOOR) for x in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["key", "logprob"])
+
+        summed = texts.select(F.col(key).alias("key"), text).mapInArrow(run, f"key {kind}, logprob double").groupBy("key").agg(F.sum("logprob").alias("logprob"))
+        return summed.select(F.col("key").alias(key), "logprob")
     counted = durable(positions(texts, order, key=key, text=text).groupBy(key, F.struct("context", "next").alias("gram")).agg(F.count("*").alias("times")))
     grams = counted.select("gram").distinct().select("gram", F.lit(0).alias("position"), "gram.context", "gram.next")
     scores = logprobs(grams, table, order, key="gram").select("gram", "logprob")
