@@ -6,6 +6,7 @@ import gzip
 
 from pyspark.sql import functions as F
 
+from vellum import catalog
 from vellum.functions import text as T
 from vellum.operators import lm as N
 from vellum.sources import texts as X
@@ -103,6 +104,18 @@ def test_source_stream_upserts_once(spark, tmp_path):
     assert sorted((r.ref_id, r.text) for r in spark.read.parquet(str(last)).collect()) == [(1, "a"), (2, "b")]
 
 
+def test_changed_sources_do_not_pass_the_driver(spark, tmp_path, monkeypatch):
+    at = dt.datetime(2026, 1, 1)
+    rows = [(k, at + dt.timedelta(hours=k), k % 40, "view", 1.0, f"p{k % 3}") for k in range(600)] + [(600, at, None, "view", 1.0, None)]
+    run = lambda: catalog.queries()["t01_changed_sources"](spark, str(tmp_path)).collect()
+    monkeypatch.setattr(A, "run_once", None)
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "events.parquet"))
+    assert [r.n for r in run()] == [0]
+    spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    assert [r.n for r in run()] == [121]
+
+
 def test_edge_state_stream(spark, tmp_path):
     schema = "user_id long, canon_from long, canon_to long, canon_key string, source_id long, confidence double, relation_kind string"
     rows = [(1, 1, 2, "k", 1, 0.5, "uncle"), (1, 1, 2, "k", 2, 0.9, "aunt"), (1, 3, 4, "k", 1, 0.2, "x")]

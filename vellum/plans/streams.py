@@ -19,6 +19,12 @@ def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     return A.run_once(stream, f"t_{uuid.uuid4().hex}", mode, folder)
 
 
+def _run_stored(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """Appended rows of a stream of any size, as files below the checkpoint folder."""
+    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return A.run_into(stream, f"{folder}/rows", f"{folder}/state")
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = D.table(spark, sf_dir, "events").schema
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -27,7 +33,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("t01_changed_sources", "SELECT count(DISTINCT (user_id, event_type, props)) AS n FROM events")
 def changed(spark, sf):
     rows = _events(spark, sf).select("user_id", F.col("event_type").alias("source_type"), F.lit(1).alias("ref_id"), F.col("props").alias("text"), F.col("ts").alias("created_at"))
-    return _run(spark, A.changed_sources(rows, "400 days"), "append").agg(F.count("*").alias("n"))
+    return _run_stored(spark, A.changed_sources(rows, "400 days").select("user_id")).agg(F.count("*").alias("n"))
 
 
 @register("t02_decision_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type AS action, value > 50 AS in_lexicon, count(*) AS n FROM events GROUP BY ALL")

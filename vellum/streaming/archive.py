@@ -87,3 +87,10 @@ def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFr
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_into(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over what is there and appends its rows to Parquet files, which the driver does not hold."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
