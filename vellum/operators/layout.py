@@ -5,7 +5,12 @@ A baseline is an array of points, each an array [x, y].
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,33 +92,121 @@ def reading_order(lines: DataFrame) -> DataFrame:
     return lines.withColumn("order_index", F.row_number().over(w) - 1)
 
 
+#: Pairs of lines that are compared at once.
+_PAIRS = 500_000
+
+
+class _Lines:
+    """Lines of some pages as arrays, for the same measures on many pairs: `continuation_cost`, `stacked`."""
+
+    def __init__(self, baselines: pa.ListArray, pitch: np.ndarray) -> None:
+        points = baselines.flatten()
+        size = np.asarray(pc.fill_null(pc.list_value_length(baselines), 0))
+        width = np.asarray(pc.fill_null(pc.list_value_length(points), 0))
+        flat = np.append(np.asarray(pc.cast(points.flatten(), pa.float64()).to_numpy(zero_copy_only=False)), np.nan)
+        at = np.cumsum(width) - width
+        x, y = (np.append(np.where(width > k, flat[np.minimum(at + k, len(flat) - 1)], np.nan), np.nan) for k in (0, 1))
+        first = np.cumsum(size) - size
+        self.usable = (size >= 2) & (pitch > 0)
+        self.pitch = pitch
+        place = lambda k: np.where(size >= 2, first + np.where(k < 0, size + k, k), len(x) - 1)
+        self.ends = [(x[place(k)], y[place(k)]) for k in (0, 1, -2, -1)]
+        self.low, self.high = np.full(len(size), np.nan), np.full(len(size), np.nan)
+        if len(some := np.flatnonzero(size)):
+            self.low[some], self.high[some] = np.fmin.reduceat(x[:-1], first[some]), np.fmax.reduceat(x[:-1], first[some])
+
+    def _share(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        shorter = np.minimum(self.high[i] - self.low[i], self.high[j] - self.low[j])
+        common = np.maximum(0.0, np.minimum(self.high[i], self.high[j]) - np.maximum(self.low[i], self.low[j]))
+        return np.where(shorter > 0, common / shorter, 0.0), shorter
+
+    def cost(self, i: np.ndarray, j: np.ndarray, gap: float = 1.5, across: float = 0.5, back: float = 0.5, angle: float = 0.5, share: float = 0.5) -> np.ndarray:
+        """`continuation_cost` of each pair, NaN where there is none."""
+        swap, scale = self.ends[3][0][i] > self.ends[0][0][j], self.pitch[i]
+        a, b = np.where(swap, j, i), np.where(swap, i, j)
+        (bx, by), (cx, cy), (px, py), (qx, qy) = ((x[k], y[k]) for (x, y), k in zip(self.ends, (b, b, a, a), strict=True))
+        dx, dy, ex, ey, vx, vy = qx - px, qy - py, cx - bx, cy - by, bx - qx, by - qy
+        n, m = np.hypot(dx, dy), np.hypot(ex, ey)
+        along, off = (vx * dx + vy * dy) / n, np.abs(vx * dy - vy * dx) / n
+        bent = np.where(m > 0, np.abs(dx * ey - dy * ex) / (n * m), 0.0)
+        good = (n > 0) & (self._share(i, j)[0] <= share) & (off <= across * scale) & (along <= gap * scale) & (along >= -back * scale) & (bent <= angle)
+        return np.where(good & self.usable[i] & self.usable[j], (2 * off + np.abs(along)) / scale, np.nan)
+
+    def stacked(self, i: np.ndarray, j: np.ndarray, most: float = 0.5) -> np.ndarray:
+        share, shorter = self._share(i, j)
+        return self.usable[i] & self.usable[j] & (shorter >= self.pitch[i]) & (share > most)
+
+
+def _continuations(lines: _Lines, ids: np.ndarray, stops: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """(first, second, cost) of all pairs of lines of one page that continue each other; a line's page ends at its ``stops``."""
+    rest = stops - np.arange(len(ids)) - 1
+    total = np.cumsum(rest)
+    begin = 0
+    while begin < len(ids):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + _PAIRS, "right")))
+        count = rest[begin:end]
+        i = np.repeat(np.arange(begin, end), count)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        swap = ids[i] > ids[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        cost = lines.cost(i, j)
+        good = np.flatnonzero(~np.isnan(cost) & (ids[i] != ids[j]))
+        yield from zip(i[good].tolist(), j[good].tolist(), cost[good].tolist(), strict=True)
+        begin = end
+
+
+def _grouped(lines: _Lines, ids: np.ndarray, own: range, pairs: list[tuple[int, int, float]]) -> dict[int, int]:
+    """The smallest line of each group of a page, by line, from its pairs; lines of one number count as one."""
+    spots: dict[int, list[int]] = {}
+    for k in own:
+        spots.setdefault(int(ids[k]), []).append(k)
+    group: dict[int, set[int]] = {}
+    for _, x, y in sorted((c, int(ids[i]), int(ids[j])) for i, j, c in pairs):
+        p, q = group.setdefault(x, {x}), group.setdefault(y, {y})
+        if p is not q:
+            left, right = (np.array([k for u in side for k in spots[u]]) for side in (p, q))
+            i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+            if not lines.stacked(i, j).any():
+                p |= q
+                for u in q:
+                    group[u] = p
+    return {k: min(g) for k, g in group.items()}
+
+
 def collinear_groups(lines: DataFrame, pitches: DataFrame) -> DataFrame:
     """(page_id, line_id, group): baselines of one physical line, the group named by its smallest line.
 
     The cheapest continuations join first; groups that would stand above each other stay
-    apart. Pairs are found by the table engine; the joining of a page's few pairs is one task's.
+    apart. A page's lines come in one row; the pairs of many pages are compared as arrays,
+    and only lines with a continuation are joined one by one.
     """
-    a = lines.where(F.size("baseline") >= 2).join(pitches.where("pitch > 0"), "page_id")
-    left = a.select("page_id", F.col("line_id").alias("l"), F.col("baseline").alias("lb"), "pitch")
-    right = a.select("page_id", F.col("line_id").alias("r"), F.col("baseline").alias("rb"))
-    pairs = left.join(right, "page_id").where("l < r")
     kind = lines.schema["page_id"].dataType.simpleString()
-    facts = pairs.select("page_id", F.col("l").cast("long"), F.col("r").cast("long"), continuation_cost(F.col("lb"), F.col("rb"), F.col("pitch")).alias("cost"), stacked(F.col("lb"), F.col("rb"), F.col("pitch")).alias("apart")).where("cost IS NOT NULL OR apart")
-
-    def join(frame: pd.DataFrame) -> pd.DataFrame:
-        group: dict[int, set[int]] = {}
-        apart = {frozenset(p) for p in frame.loc[frame.apart, ["l", "r"]].itertuples(index=False, name=None)}
-        for row in frame[frame.cost.notna()].sort_values(["cost", "l", "r"]).itertuples():
-            p, q = group.setdefault(row.l, {row.l}), group.setdefault(row.r, {row.r})
-            if p is not q and not any(frozenset((x, y)) in apart for x in p for y in q):
-                p |= q
-                for x in q:
-                    group[x] = p
-        rows = [(frame.page_id.iloc[0], k, min(g)) for k, g in group.items()]
-        return pd.DataFrame(rows, columns=["page_id", "line_id", "group"])
-
-    found = facts.groupBy("page_id").applyInPandas(join, f"page_id {kind}, line_id long, group long")
-    return lines.select("page_id", F.col("line_id").cast("long").alias("line_id")).join(found, ["page_id", "line_id"], "left").withColumn("group", F.coalesce("group", "line_id"))
+    line = F.struct(F.col("line_id").cast("long").alias("line_id"), F.transform("baseline", lambda p: F.transform(p, lambda v: v.cast("double"))).alias("baseline"))
+    pages = lines.groupBy("page_id").agg(F.collect_list(line).alias("lines")).join(pitches.select("page_id", "pitch"), "page_id", "left").select("page_id", F.col("pitch").cast("double").alias("pitch"), "lines")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count = np.asarray(pc.list_value_length(batch.column("lines")))
+            page = np.repeat(np.arange(batch.num_rows), count)
+            rows = batch.column("lines").flatten()
+            line_id, baseline = rows.field("line_id"), rows.field("baseline")
+            ids, some = np.array(pc.fill_null(line_id, 0)), np.asarray(line_id.is_valid())
+            pitch = batch.column("pitch").cast(pa.float64()).to_numpy(zero_copy_only=False)[page]
+            stops = np.cumsum(count)
+            found: dict[int, list[tuple[int, int, float]]] = {}
+            with np.errstate(all="ignore"):
+                shapes = _Lines(baseline, np.where(some, pitch, np.nan))
+                for i, j, c in _continuations(shapes, ids, stops[page]):
+                    found.setdefault(int(page[i]), []).append((i, j, c))
+                group = ids.copy()
+                for k, pairs in found.items():
+                    own = range(int(stops[k] - count[k]), int(stops[k]))
+                    joined = _grouped(shapes, ids, own, pairs)
+                    for spot in own:
+                        group[spot] = joined.get(int(ids[spot]), ids[spot])
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").take(pa.array(page)), line_id, pa.array(group, pa.int64(), mask=~some)], ["page_id", "line_id", "group"])
+
+    return pages.mapInArrow(run, f"page_id {kind}, line_id long, group long")
 
 
 def bands_of(lines: DataFrame, bands: DataFrame) -> DataFrame:
@@ -178,8 +271,6 @@ def merged_outline(pieces: Column) -> Column:
 
 def midline(points: list[tuple[float, float]], steps: int = 16) -> list[tuple[float, float]]:
     """Points along the middle of an outline, in order of its long axis, left to right."""
-    import numpy as np
-
     p = np.array(points, float)
     if len(p) < 3:
         return [tuple(x) for x in p.tolist()]
