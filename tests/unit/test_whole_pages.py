@@ -49,3 +49,19 @@ def test_groups_equal_those_of_single_pairs(spark, monkeypatch, most):
     key = lambda r: tuple((x is not None, x) for x in r)
     assert sorted(map(tuple, found.collect()), key=key) == sorted([(p, k, want[p].get(k, k)) for p, k, *_ in rows] + [(None, 1, 1), (2, None, None)], key=key)
     assert sum(w != k for g in want.values() for k, w in g.items()) > 20
+
+
+def test_pitch_and_groups_share_one_exchange_and_keep_lines_of_no_page(spark, tmp_path):
+    rows = [(order, k, 10 * k, 3 * k, 20.0) for order in (5, None) for k in range(1, 6)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalog.queries()["p04_collinear_groups"](spark, str(tmp_path))
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.page_id or 0, r.line_id == r.group) for r in found.collect()) == [(0, True)] * 5 + [(5, True)] * 5
+
+
+def test_pitch_is_the_median_gap_of_text_lines(spark):
+    line = lambda *ys: [[10.0 * k, float(y)] for k, y in enumerate(ys)]
+    pages = {1: [line(0, 2), line(4, 4), line(40, 42), line(90, 90)], 2: [line(5, 5)] * 4, 3: [line(0, 0), line(1, 1), line(2, 2), line(9, 9)], 4: [line(0, 0), line(50, 50)], 5: [line(0, 0), line(40, 40), line(80, 80), line(160, 160), line(3)]}
+    rows = [(p, x, 10.0 if p != 3 else 40.0) for p, lines in pages.items() for x in lines] + [(6, line(k, k), None) for k in (0, 30, 60, 90)]
+    got = {r.page_id: r.pitch for r in layout.pitch(spark.createDataFrame(rows, "page_id long, baseline array<array<double>>, height double")).collect()}
+    assert got == {1: (38.5 + 49.0) / 2, 2: None, 3: 3.0, 4: None, 5: 40.0, 6: 30.0}

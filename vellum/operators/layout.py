@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.functions.arrays import let
+
 
 def _axis(points: Column, k: int) -> Column:
     return F.transform(points, lambda p: F.get(p, F.lit(k)).cast("double"))
@@ -39,14 +41,21 @@ def pitch(lines: DataFrame) -> DataFrame:
     """
     ends = F.get("baseline", F.lit(0)), F.element_at("baseline", -1)
     rows = lines.where(F.size("baseline") >= 2).select("page_id", ((F.get(ends[0], F.lit(1)) + F.get(ends[1], F.lit(1))) / 2).cast("double").alias("mid"), F.when(F.col("height") > 0, F.col("height").cast("double")).alias("height"))
-    stats = rows.groupBy("page_id").agg(F.count("*").alias("n"), F.min("mid").alias("low"), F.max("mid").alias("high"), F.expr("percentile(height, 0.5)").alias("h"))
-    w = Window.partitionBy("page_id").orderBy("mid")
-    apart = F.when(F.col("mid") - F.lag("mid").over(w) <= 0.5 * F.col("h"), 0).otherwise(1)
-    runs = rows.drop("height").join(stats.select("page_id", "h"), "page_id").where("h IS NOT NULL").withColumn("run", apart).withColumn("run", F.sum("run").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    centres = runs.groupBy("page_id", "run").agg(F.avg("mid").alias("c"))
-    gaps = centres.withColumn("gap", F.lead("c").over(Window.partitionBy("page_id").orderBy("c")) - F.col("c")).groupBy("page_id").agg(F.expr("percentile(gap, 0.5)").alias("g"))
+    stats = rows.groupBy("page_id").agg(F.count("*").alias("n"), F.min("mid").alias("low"), F.max("mid").alias("high"), F.expr("percentile(height, 0.5)").alias("h"), F.sort_array(F.collect_list("mid")).alias("mids"))
+    at = lambda k: F.get("mids", k)
+    close = lambda k: (k > 0) & F.coalesce(at(k) - at(k - 1) <= 0.5 * F.col("h"), F.lit(False))
+    places = F.slice(F.sequence(F.lit(0), F.size("mids")), F.lit(1), F.size("mids"))
+    starts = F.when(F.col("h").isNotNull(), F.filter(places, lambda k: ~close(k)))
+
+    def centre(first: Column, k: Column, begins: Column) -> Column:
+        part = F.slice("mids", first + 1, F.coalesce(F.get(begins, k + 1), F.size("mids")) - first)
+        return F.aggregate(part, F.lit(0.0), lambda total, x: total + x) / F.size(part)
+
+    centres = let(starts, lambda begins: F.transform(begins, lambda first, k: centre(first, k, begins)))
+    gaps = let(F.sort_array(centres), lambda c: F.sort_array(F.zip_with(F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))), lambda x, y: x - y)))
+    middle = let(gaps, lambda g: (F.get(g, F.floor((F.size(g) - 1) / 2).cast("int")) + F.get(g, F.ceil((F.size(g) - 1) / 2).cast("int"))) / 2)
     spread = F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / (F.col("n") - 1))
-    return stats.join(gaps, "page_id", "left").select("page_id", F.when(F.col("n") >= 4, F.coalesce(F.when(F.col("g") > 0, F.col("g")), spread)).alias("pitch"))
+    return stats.withColumn("g", middle).select("page_id", F.when(F.col("n") >= 4, F.coalesce(F.when(F.col("g") > 0, F.col("g")), spread)).alias("pitch"))
 
 
 def overlap_share(a: Column, b: Column) -> Column:
